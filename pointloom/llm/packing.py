@@ -38,7 +38,7 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> lis
     n = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     level = demand / np.diag(basis)
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1 / np.diag(basis))  # no BLAS calls here: its threads do not survive forks
     for _ in range(20 * n + 50):
         price = inverse.sum(axis=0)
         # Unbounded knapsack: best value and the last size taken, by room.
@@ -57,7 +57,7 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> lis
         while room > 0 and took[room] >= 0:
             column[took[room]] += 1
             room -= int(sizes[took[room]])
-        move = inverse @ column
+        move = (inverse * column).sum(axis=1)
         ratio = np.where(move > 1e-10, level / np.where(move > 1e-10, move, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
