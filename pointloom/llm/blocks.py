@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import struct
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
 from . import text as T
 
 #: Bytes of text in a chunk (one document may be longer).
@@ -64,40 +64,6 @@ def rows(found: list[tuple[int, str, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(chunk, pa.int64()), pa.array(kind, pa.string()), pa.array(bucket, pa.int64()), pa.array(body, pa.binary())], schema=_ARROW)
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the shared place that spark.checkpoint.dir names.
-
-    Where the setting is missing (tests, a single machine), a folder of this machine is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            base = found.get()
-        else:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "/tmp/pointloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver find out which shuffles nothing refers to any more, so their files go."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def buckets(spark: SparkSession) -> int:
     """Buckets of an exchange: twice the shuffle partitions, which follow the input's size."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

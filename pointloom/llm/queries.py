@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, packing
+from .jaccard import jaccard_join
 from .substring import substring_dedup
 
 
@@ -32,6 +33,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op3_best_fit_packing, op8_benchmark_decontamination]
+    found = [op1_substring_dedup, op3_best_fit_packing, op8_benchmark_decontamination, op9_ngram_jaccard_join]
     return {f.__name__: f for f in found}
