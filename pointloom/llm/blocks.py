@@ -69,7 +69,7 @@ def buckets(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _pack_chunks(limit: int):
+def _pack_chunks(limit: int, extra: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 32, 0
         held: list[pa.RecordBatch] = []
@@ -78,14 +78,21 @@ def _pack_chunks(limit: int):
         def flush() -> pa.RecordBatch:
             nonlocal held, size, seq
             table = pa.Table.from_batches(held).combine_chunks()
-            data, offs = T.buffers(table["text"].combine_chunks())
-            body = dump(doc_id=table["doc_id"].to_numpy(), lengths=np.diff(offs))
-            packed = struct.pack("<I", len(body)) + body + zstandard.ZstdCompressor(level=1).compress(data.tobytes())
+            texts = table["__text"].combine_chunks()
+            data, offs = T.buffers(texts)
+            parts = [dump(doc_id=table["__id"].to_numpy(), lengths=np.diff(offs)), zstandard.ZstdCompressor(level=1).compress(data.tobytes())]
+            if extra:
+                sink = pa.BufferOutputStream()
+                more = table.drop_columns(["__id", "__text"])
+                with pa.ipc.new_stream(sink, more.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(more)
+                parts.append(sink.getvalue().to_pybytes())
+            body = b"".join(struct.pack("<I", len(x)) + x for x in parts)
             held, size, seq = [], 0, seq + 1
-            return rows([(base + seq, "text", -1, packed)])
+            return rows([(base + seq, "text", -1, body)])
 
         for b in batches:
-            _, offs = T.buffers(b.column("text"))
+            _, offs = T.buffers(b.column("__text"))
             at = 0
             while at < b.num_rows:
                 room = max(1, int(np.searchsorted(offs, offs[at] + limit - size, side="right")) - 1 - at)
@@ -101,21 +108,34 @@ def _pack_chunks(limit: int):
     return run
 
 
-def chunks(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
-    """Documents (doc_id, text) gathered into written chunk rows; null ids go."""
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return written(picked.mapInArrow(_pack_chunks(limit), BLOCK))
+def chunks(docs: DataFrame, limit: int = CHUNK_BYTES, extra: bool = False) -> DataFrame:
+    """Documents gathered into written chunk rows; null ids go. extra: with all columns but text."""
+    more = [F.col(f"`{k}`") for k in docs.columns if k != "text"] if extra else []
+    picked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *more)
+    return written(picked.mapInArrow(_pack_chunks(limit, extra), BLOCK))
+
+
+def _part(body: bytes, k: int) -> bytes:
+    at = 0
+    for _ in range(k):
+        at += 4 + struct.unpack_from("<I", body, at)[0]
+    return body[at + 4 : at + 4 + struct.unpack_from("<I", body, at)[0]]
 
 
 def unpack_chunk(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc ids, text bytes and offsets of a chunk."""
-    (size,) = struct.unpack_from("<I", body)
-    head = load(body[4 : 4 + size])
+    head = load(_part(body, 0))
     offs = np.concatenate([[0], np.cumsum(head["lengths"])]).astype(np.int64)
-    raw = zstandard.ZstdDecompressor().decompress(body[4 + size :])
+    raw = zstandard.ZstdDecompressor().decompress(_part(body, 1))
     return head["doc_id"], np.frombuffer(raw, np.uint8), offs
 
 
+def unpack_extra(body: bytes) -> pa.RecordBatch:
+    """The other columns of a chunk."""
+    with pa.ipc.open_stream(_part(body, 2)) as stream:
+        return stream.read_all().combine_chunks().to_batches()[0]
+
+
 def by_row(df: DataFrame, fn: Callable, schema: str = BLOCK) -> DataFrame:
     """fn(chunk, body) for each row."""
 
