@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import text as T
-from .tokens import Encoder
+from .tokens import encoder
 
 CAPACITY = 2048
 #: Pieces longer than capacity / SMALL are grouped; GROUPS is the most sizes they are rounded to.
@@ -165,13 +165,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(path), TaskContext.get().partitionId()
+        encode, task = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             data, offs = T.buffers(b.column("text"))
             doc_ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for a, z in T.slices(offs):
-                ids, bounds = encoder(*T.of_range(data, offs, a, z))
+                ids, bounds = encode(*T.of_range(data, offs, a, z))
                 n = np.diff(bounds) + 1
                 many = -(-n // capacity)
                 doc = np.repeat(np.arange(z - a), many)
