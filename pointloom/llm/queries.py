@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, lines, packing
 from .jaccard import jaccard_join
+from .katz import katz_scores
 from .substring import substring_dedup
 from .toxicity import toxicity
 
@@ -26,6 +27,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,5 +52,5 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op3_best_fit_packing, op4_toxicity, op7_line_dedup, op8_benchmark_decontamination, op9_ngram_jaccard_join]
+    found = [op1_substring_dedup, op2_katz_backoff, op3_best_fit_packing, op4_toxicity, op7_line_dedup, op8_benchmark_decontamination, op9_ngram_jaccard_join]
     return {f.__name__: f for f in found}

@@ -28,6 +28,8 @@ from .text import U64
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 48 << 20
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
+#: The column that score() adds.
+SCORE = "__toxicity"
 #: Words in a window, by feature group.
 WINDOWS = (8, 16)
 BASE_BYTES = 12_000
@@ -229,9 +231,9 @@ def _in_order():
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, with toxic_score (0 to 1) behind them; every window of each text counts."""
+    """All columns of docs, with SCORE (0 to 1) behind them; every window of each text counts."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of some 14 kB
-    schema = docs.withColumn("toxic_score", F.lit(0.0)).schema
+    schema = docs.drop(SCORE).withColumn(SCORE, F.lit(0.0)).schema
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +248,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 own = b.slice(x, y - x)
                 yield pa.record_batch([*own.columns, pa.array(got, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.drop(SCORE).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -258,4 +260,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     out = score(picked, fit(docs, labels, sample_rows))
-    return out.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
