@@ -55,5 +55,14 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(n, 0) A
 """
 
 
+OP6 = r"""
+WITH turns AS (SELECT conv_id, row_number() OVER w AS i, coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n') AS m, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+whole AS (SELECT conv_id, count(*) AS n, list(sha256(m) ORDER BY i) AS ms, string_agg(r, '' ORDER BY i) AS rendered FROM turns GROUP BY conv_id),
+each AS (SELECT ms, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole GROUP BY ms),
+prefixes AS (SELECT DISTINCT ms[1:k] AS p FROM (SELECT ms, unnest(range(1, n)) AS k FROM whole))
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, n_copies, rendered FROM each JOIN whole USING (conv_id) WHERE NOT EXISTS (SELECT 1 FROM prefixes WHERE p = each.ms)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op7_line_dedup": OP7, "op8_benchmark_decontamination": OP8, "op9_ngram_jaccard_join": OP9}
+    return {"op1_substring_dedup": OP1, "op6_chat_formatting": OP6, "op7_line_dedup": OP7, "op8_benchmark_decontamination": OP8, "op9_ngram_jaccard_join": OP9}

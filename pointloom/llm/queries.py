@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, lines, packing
+from .ann import nearest
+from .chat import collapse
 from .jaccard import jaccard_join
 from .katz import katz_scores
+from .licenses import license_scan
 from .substring import substring_dedup
 from .toxicity import toxicity
 
@@ -39,6 +42,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse(table(spark, sf_dir, "conversations"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,6 +63,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_katz_backoff, op3_best_fit_packing, op4_toxicity, op7_line_dedup, op8_benchmark_decontamination, op9_ngram_jaccard_join]
+    found = [op1_substring_dedup, op2_katz_backoff, op3_best_fit_packing, op4_toxicity, op5_nearest_neighbours, op6_chat_formatting, op7_line_dedup, op8_benchmark_decontamination, op9_ngram_jaccard_join, op10_license_scan]
     return {f.__name__: f for f in found}
