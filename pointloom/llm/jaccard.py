@@ -47,7 +47,7 @@ def bands(most: int, ratio: float = 1.5) -> np.ndarray:
         u = max(u + 1, int(u * ratio))
 
 
-def budget(upper: int, percent: int) -> int:
+def budget(upper, percent: int):
     """The largest symmetric difference of linked sets, the smaller of at most ``upper``.
 
     With union u and intersection i, i >= p u and |A| + |B| = u + i, so u - i is at most
@@ -56,33 +56,61 @@ def budget(upper: int, percent: int) -> int:
     return upper * (100 - percent) // percent
 
 
-def signatures(h: np.ndarray, bounds: np.ndarray, percent: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, document) of all sketch words by which the chosen linked documents must meet.
+#: Parts of a sketch beyond what the pigeonhole asks for.
+SPARE = 2
+
 
-    Configuration k is for pairs whose smaller set is in band k. Its sketch has one word of
-    64 bits more than the symmetric difference that such a pair can have; each shingle
-    flips one bit; each element of the symmetric difference changes at most one word, so
-    linked documents agree in one word at least.
+def signatures(h: np.ndarray, bounds: np.ndarray, percent: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, document) of the sketch parts by which the chosen linked documents must meet.
+
+    Configuration k is for pairs whose smaller set is in band k. A sketch of it has SPARE + 1
+    parts more than the symmetric difference that such a pair can have. A part is a wide bit
+    string in which each of its shingles flips one bit, and is named by the XOR of the names
+    of the bits that are set. An element of the symmetric difference changes at most one
+    part, so linked documents agree in SPARE + 1 parts at least. Parts without shingles say
+    little, and are sent only where a document has more than SPARE of them: if all parts
+    that two linked documents agree in are empty, both have that many.
     """
     sizes = np.diff(bounds)
     if not len(sizes) or not sizes.max(initial=0):
         return np.zeros(0, U64), np.zeros(0, np.int64)
     upper = bands(int(sizes.max()))
     own = np.searchsorted(upper, sizes)
-    keys, docs = [], []
-    for d in np.flatnonzero(chosen & (sizes > 0)):
-        a = h[bounds[d] : bounds[d + 1]]
-        n, k = int(sizes[d]), int(own[d])
-        # As the larger set of a pair it belongs to lower bands too, while their sets can be 'percent' of its size.
-        while k >= 0 and (k == own[d] or upper[k] * 100 >= n * percent):
-            words = budget(int(upper[k]), percent) + 1
-            spot = (a % U64(words)).astype(np.int64) * 64 + ((a >> U64(50)) & U64(63)).astype(np.int64)
-            bits = (np.bincount(spot, minlength=words * 64) & 1).astype(np.uint8)
-            sketch = np.packbits(bits).view(U64)
-            keys.append(T.mix(sketch ^ T.mix(np.arange(words, dtype=U64) + U64(k << 40), 43), 44))
-            docs.append(np.full(words, d))
-            k -= 1
-    return np.concatenate([np.zeros(0, U64), *keys]), np.concatenate([np.zeros(0, np.int64), *docs])
+    live = np.flatnonzero(chosen & (sizes > 0))
+    doc, band = [live], [own[live]]
+    # As the larger set of a pair a document belongs to lower bands too, while their sets can be 'percent' of its size.
+    down, k = live, own[live] - 1
+    while len(down):
+        fits = (k >= 0) & (upper[np.maximum(k, 0)] * 100 >= sizes[down] * percent)
+        down, k = down[fits], k[fits]
+        doc.append(down)
+        band.append(k)
+        k = k - 1
+    doc, band = np.concatenate(doc), np.concatenate(band)
+    parts = budget(upper[band], percent) + 1 + SPARE
+    base = np.cumsum(parts) - parts
+    n = sizes[doc]
+    where = np.repeat(bounds[doc], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    bit = h[where]
+    spot = np.repeat(base, n) + (bit % np.repeat(parts, n).astype(U64)).astype(np.int64)
+    order = np.argsort(spot)
+    spot, bit = spot[order], T.mix(bit, 45)[order]
+    at = np.flatnonzero(np.append(True, spot[1:] != spot[:-1]))
+    named = np.bitwise_xor.reduceat(bit, at)
+    spot = spot[at]
+    row = np.searchsorted(base, spot, side="right") - 1
+    # Empty parts of those that have many.
+    filled = np.bincount(row, minlength=len(doc))
+    sparse = np.flatnonzero(parts - filled > SPARE)
+    if len(sparse):
+        m = parts[sparse]
+        all_spots = np.repeat(base[sparse], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        empty = all_spots[~np.isin(all_spots, spot)]
+        spot = np.concatenate([spot, empty])
+        named = np.concatenate([named, np.zeros(len(empty), U64)])
+        row = np.searchsorted(base, spot, side="right") - 1
+    place = (spot - base[row]).astype(U64) + (band[row].astype(U64) << U64(40))
+    return T.mix(named ^ T.mix(place, 43), 44), doc[row]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -246,7 +274,8 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     members = clusters.select(F.col("id").alias("doc_id"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster")).distinct())
     blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("long").alias("blocks"))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    sets = picked.join(placed, "doc_id").mapInArrow(_sets(size), "doc_id long, cluster long, block long, blocks long, body binary")
+    # One plan at every size: texts are dealt out by doc_id, whether or not the members would fit a broadcast.
+    sets = picked.join(placed.hint("merge"), "doc_id").mapInArrow(_sets(size), "doc_id long, cluster long, block long, blocks long, body binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     sent = sets.withColumn("other", other).select("doc_id", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "body")
     links = sent.groupBy("cluster", "i", "j").applyInArrow(_link(percent), "a long, b long")
