@@ -26,7 +26,7 @@ from .text import U64
 #: Most labelled rows of each label that the model is fitted on (chosen by a hash of the id),
 #: and most bytes of all their texts: rows beyond them, not parts of texts, are left out.
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 48 << 20
+SAMPLE_BYTES = 32 << 20
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: The column that score() adds.
 SCORE = "__toxicity"
@@ -43,39 +43,51 @@ def _prepared(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(T.SPACED[data], data, 0x20).astype(np.uint8), np.cumsum([0, *[len(x) + 1 for x in texts]])
 
 
+def _beginnings(texts: list[bytes], size: int):
+    """Hash of each word's first ``size`` bytes, its text, the word before it, and where it stands; by slices."""
+    data, offs = _prepared(texts)
+    out = [[np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]]
+    for a, z in T.slices(offs):
+        own, bounds = T.of_range(data, offs, a, z)
+        starts, ends, at = T.spans(own, bounds, T.SPACED)
+        if not len(starts):
+            continue
+        values = own.astype(U64) + U64(1)
+        whole = T.segment_hash(values, starts, ends)
+        fits = ends - starts >= size
+        out[0].append(T.mix(T.segment_hash(values, starts[fits], starts[fits] + size)))
+        out[1].append((np.repeat(np.arange(z - a), np.diff(at))[fits] + a).astype(U64))
+        out[2].append(np.append(U64(0), whole[:-1])[fits])
+        out[3].append(starts[fits] + offs[a])
+    return data, *[np.concatenate(x) for x in out]
+
+
+def _spread(h: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, and with how many different ``by`` each stands."""
+    _, first = np.unique(T.mix(h ^ T.mix(by, 91), 92), return_index=True)
+    return np.unique(h[first], return_counts=True)
+
+
 def _marks(texts: list[bytes], other: list[bytes]) -> list[bytes]:
     """Words' beginnings that stand in many of texts, in many surroundings, and hardly in the others."""
-    data, offs = _prepared(texts)
-    starts, ends, at = T.spans(data, offs, T.SPACED)
-    doc = np.repeat(np.arange(len(texts)), np.diff(at))
-    values = data.astype(U64) + U64(1)
-    whole = T.segment_hash(values, starts, ends)
-    before = np.append(U64(0), whole[:-1]) if len(whole) else whole
-    rivals, rival_offs = _prepared(other)
-    rs, re, rat = T.spans(rivals, rival_offs, T.SPACED)
-    rdoc = np.repeat(np.arange(len(other)), np.diff(rat))
-    rvalues = rivals.astype(U64) + U64(1)
     found: list[tuple[int, bytes]] = []
     for size in (4, 5, 6, 7, 8, 10, 12):
-        fits = ends - starts >= size
-        h, d, b, s = T.mix(T.segment_hash(values, starts[fits], starts[fits] + size)), doc[fits], before[fits], starts[fits]
-        pairs = np.unique(np.stack([h, d.astype(U64)], axis=1), axis=0)[:, 0]
-        key, count = np.unique(pairs, return_counts=True)
-        around = np.unique(np.unique(np.stack([h, b], axis=1), axis=0)[:, 0], return_counts=True)[1]
-        key, count = key[(count >= 8) & (around >= 8)], count[(count >= 8) & (around >= 8)]
-        rfits = re - rs >= size
-        rh = T.mix(T.segment_hash(rvalues, rs[rfits], rs[rfits] + size))
+        data, h, doc, before, at = _beginnings(texts, size)
+        key, count = _spread(h, doc)
+        around = _spread(h, before)[1]
+        fine = (count >= 8) & (around >= 8)
+        key, count = key[fine], count[fine]
+        _, rh, rdoc, _, _ = _beginnings(other, size)
         inside = np.isin(rh, key)
-        rpairs = np.unique(np.stack([rh[inside], rdoc[rfits][inside].astype(U64)], axis=1), axis=0)[:, 0]
-        rkey, rcount = np.unique(rpairs, return_counts=True)
+        rkey, rcount = _spread(rh[inside], rdoc[inside])
         rivalled = np.zeros(len(key))
         rivalled[np.searchsorted(key, rkey)] = rcount
         odds = (count + 0.5) / (len(texts) + 1) * (len(other) + 1) / (rivalled + 0.5)
         for k in np.flatnonzero(odds > 20):
-            first = s[np.argmax(h == key[k])]
+            first = at[np.argmax(h == key[k])]
             found.append((int(count[k]), data[first : first + size].tobytes()))
     # Where a longer beginning is about as frequent, it says more.
-    kept = [(n, x) for n, x in found if not any(m != n or y != x for m, y in found if len(y) > len(x) and y.startswith(x) and m >= 0.8 * n)]
+    kept = [(n, x) for n, x in found if not any(len(y) > len(x) and y.startswith(x) and m >= 0.8 * n for m, y in found)]
     return [x for _, x in sorted(kept, key=lambda t: (-t[0], t[1]))[:UNITS]]
 
 
@@ -169,7 +181,7 @@ def train(rows: list[tuple[int, bytes, int]], shares: tuple[float, float]) -> Mo
     seen: set[bytes] = set()
     rows = [r for r in rows if not (r[2] in seen or seen.add(r[2]))]  # copies count once
     n = [sum(r[3] == y for r in rows) for y in (0, 1)]
-    prior = (n[1] * shares[1] + 0.5) / (n[0] * shares[0] + n[1] * shares[1] + 1)
+    prior = (n[1] * shares[1] + 0.1) / (n[0] * shares[0] + n[1] * shares[1] + 1)
     own, rest = [r for r in rows if r[0] % 2], [r for r in rows if not r[0] % 2]
     none = np.zeros(0)
     if min(n) < 8:
@@ -256,7 +268,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
     docs: doc_id long, text string; labels: doc_id long, toxic 0/1. Null and empty texts get
     the score of a text without windows; with fewer than 8 labelled texts of either label
-    all get the share of toxic ones. Rows with a null doc_id go; repeated rows are scored each.
+    all get the share of toxic ones, 0.1 without labels. Rows with a null doc_id go; repeated rows are scored each.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     out = score(picked, fit(docs, labels, sample_rows))
