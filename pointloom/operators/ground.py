@@ -80,3 +80,37 @@ def classify_ground(points: DataFrame, resolution: float = 0.6, threshold: float
     cloth = settle_cloth(support, -box["z1"] + 2 * r, r, rigidness, iterations, step, eps)
     seen = raster_lookup(points, _frame(points.sparkSession, cloth), nx, ny, r, (box["x0"], box["y0"]))
     return seen.withColumn("ground", F.coalesce(F.abs(-F.col("z") - F.col("ground")) <= threshold, F.lit(False)))
+
+
+def classify_ground_elastic(points: DataFrame, resolution: float, threshold: float, rigidness: int = 2, iterations: int = 500, step: float = 0.65, smooth: bool = False, up: str = "z") -> DataFrame:
+    """points with ground (boolean) by an elastic cloth under the cloud, turned over along ``up``.
+
+    A particle's ground is the point nearest to it in plan, ties to the smallest ord: one
+    aggregation over all points. The sweep over the cloth is sequential by nature and runs
+    on the driver over a bounded number of particles. A point is ground if it lies strictly
+    nearer to the cloth than the threshold. A resolution that is not positive finds none.
+    """
+    from ..kernels import cloth as K
+
+    if not resolution > 0:
+        return points.withColumn("ground", F.lit(False))
+    a, b = [n for n in "xyz" if n != up]
+    box = points.agg(F.min(a).alias("a0"), F.max(a).alias("a1"), F.min(b).alias("b0"), F.max(b).alias("b1"), F.min(up).alias("h0")).first()
+    if box["a0"] is None:
+        return points.withColumn("ground", F.lit(False))
+    r = resolution
+    cols, rows = (int((box[f"{n}1"] - box[f"{n}0"]) // r) + 2 * K.BUFFER for n in "ab")
+    if cols * rows > PARTICLES:
+        raise ValueError(f"{cols * rows} particles are too many: raise the resolution")
+    origin = (box["a0"] - K.BUFFER * r, box["b0"] - K.BUFFER * r)
+    spot = points.select("ord", (-F.col(up)).alias("h"), F.col(a).alias("a"), F.col(b).alias("b"), F.floor((F.col(a) - origin[0]) / r + 0.5).cast("int").alias("i"), F.floor((F.col(b) - origin[1]) / r + 0.5).cast("int").alias("j"))
+    gap = F.pow(F.col("i") * r + origin[0] - F.col("a"), 2) + F.pow(F.col("j") * r + origin[1] - F.col("b"), 2)
+    found = spot.groupBy("i", "j").agg(F.min_by("h", F.struct(gap.alias("d"), "ord")).alias("h")).toPandas()  # no more rows than particles
+    heights = np.full((rows, cols), np.nan)
+    ok = (found["i"] >= 0) & (found["i"] < cols) & (found["j"] >= 0) & (found["j"] < rows)
+    heights[found["j"][ok], found["i"][ok]] = found["h"][ok]
+    cloth = K.simulate(heights, -box["h0"] + K.LIFT, rigidness, iterations, step, smooth)
+    plan = points.withColumns({"__x": F.col("x"), "__y": F.col("y"), "x": F.col(a), "y": F.col(b), "__h": -F.col(up)})
+    seen = raster_lookup(plan, _frame(points.sparkSession, cloth), cols, rows, r, origin)
+    seen = seen.withColumns({"x": F.col("__x"), "y": F.col("__y"), "ground": F.coalesce(F.abs(F.col("ground") - F.col("__h")) < threshold, F.lit(False))})
+    return seen.drop("__x", "__y", "__h")

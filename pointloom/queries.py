@@ -524,3 +524,209 @@ def m4_packed_ids(spark, d):
 def m5_screen_positions(spark, d):
     at = S.to_screen(EYE, 800, 600)
     return M.cloud_emb(spark, d).select("ord", F.round(at["px"], 4).alias("px"), F.round(at["py"], 4).alias("py"))
+
+
+# Models, rasters and files: on a scene made here where the tables hold no geometry
+
+
+def _scene(spark) -> DataFrame:
+    """Soil with a slope, a wire along x, a block, a trunk: from spark.range, without random numbers."""
+    h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10_000)) / 10_000.0
+    n = spark.range(3000)
+    soil = n.select((h(1) * 60).alias("x"), (h(2) * 30).alias("y")).withColumn("z", 0.02 * F.col("x")).withColumn("part", F.lit(0))
+    wire = spark.range(400).select((F.col("id") * 0.15).alias("x"), F.lit(15.0).alias("y"), (12 + F.pow(F.col("id") * 0.15 - 30, 2) / 300).alias("z"), F.lit(1).alias("part"))
+    block = spark.range(400).select((20 + h(3) * 8).alias("x"), (4 + h(4) * 6).alias("y"), F.lit(5.0).alias("z"), F.lit(2).alias("part"))
+    trunk = spark.range(1200).select((45 + 0.15 * F.cos(F.col("id") * 0.7)).alias("x"), (24 + 0.15 * F.sin(F.col("id") * 0.7)).alias("y"), (0.9 + F.col("id") * 0.005).alias("z"), F.lit(3).alias("part"))
+    rows = soil.unionByName(wire).unionByName(block).unionByName(trunk)
+    from pyspark.sql import Window
+
+    order = F.row_number().over(Window.partitionBy("part").orderBy("x", "y", "z"))
+    return rows.withColumn("ord", (F.col("part") * 10_000 + order).cast("long")).withColumn("classification", F.element_at(F.array(*[F.lit(c) for c in (2, 15, 6, 4)]), F.col("part") + 1))
+
+
+@query()
+def f8_hag_gate(spark, d):
+    from .operators.ground import with_ground
+
+    scene = _scene(spark)
+    return L.hag_gate(with_ground(scene, scene.where("classification = 2"), 2.0), 4.0).select("ord", r6("ground").alias("ground"))
+
+
+@query()
+def f9_line_candidates(spark, d):
+    from .operators.ground import line_candidates
+
+    scene = _scene(spark)
+    return line_candidates(scene, scene.where("classification = 2"), 4.0, 1.0).select("ord", "n", r6("linearity").alias("linearity"))
+
+
+@query()
+def f10_refined_lines(spark, d):
+    from .operators.normals import features
+
+    return L.refine_lines(L.loose_line_gate(features(M.cloud_emb(spark, d), 0.1))).select("ord", "n")
+
+
+@query(f"WITH {EMB}, p AS (SELECT ord, greatest(0.0, least(4.0, (x + 0.3) / 0.15)) AS u, greatest(0.0, least(3.0, (y + 0.3) / 0.15)) AS v FROM cloud), c AS (SELECT *, floor(u) AS a, floor(v) AS b, least(floor(u) + 1, 4) AS a1, least(floor(v) + 1, 3) AS b1 FROM p) SELECT ord, round((2 * a + b * b) + ((2 * a1 + b * b) - (2 * a + b * b)) * (u - a) + (((2 * a + b1 * b1) + ((2 * a1 + b1 * b1) - (2 * a + b1 * b1)) * (u - a)) - ((2 * a + b * b) + ((2 * a1 + b * b) - (2 * a + b * b)) * (u - a))) * (v - b), 6) AS ground FROM c")
+def j6_raster_lookup(spark, d):
+    raster = spark.range(20).select((F.col("id") % 5).alias("col"), F.floor(F.col("id") / 5).alias("row")).withColumn("z", (2 * F.col("col") + F.col("row") * F.col("row")).cast("double"))
+    return J.raster_lookup(M.cloud_emb(spark, d), raster, 5, 4, 0.15, (-0.3, -0.3)).select("ord", r6("ground").alias("ground"))
+
+
+@query()
+def j8_endpoint_join(spark, d):
+    ends = spark.createDataFrame([(1, 1, 0.0, 0.0, 9.0, -1.0, 0.0, 0.0), (2, 1, 50.0, 0.0, 9.0, 1.0, 0.0, 0.0), (3, 2, 56.0, 0.2, 9.0, -1.0, 0.0, 0.0), (4, 2, 90.0, 0.2, 9.0, 1.0, 0.0, 0.0), (5, 3, 55.0, 4.0, 9.0, -1.0, 0.0, 0.0)], "ord long, line long, x double, y double, z double, dx double, dy double, dz double")
+    return J.endpoint_join(ends, 10.0, 12.0, 0.5).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), r6("score").alias("score"))
+
+
+@query()
+def a13_tree_diameters(spark, d):
+    from .operators.trees import diameters
+
+    return diameters(_scene(spark).where("part = 3").withColumn("entity_id", F.lit(7))).select("entity_id", r6("height").alias("height"), F.round("dbh", 3).alias("dbh"), "dbh_method")
+
+
+@query()
+def a17_filled_raster(spark, d):
+    from .operators.ground import filled_raster
+
+    return filled_raster(M.cloud_emb(spark, d), 0.05)[0].select("col", "row", r6("z").alias("z"))
+
+
+@query("SELECT vec_id AS ord, CAST(k AS INTEGER) AS k, round(CAST(embedding[1] AS DOUBLE) + 0.5 * cos(k * 2 * pi() / 8), 6) AS px, round(CAST(embedding[2] AS DOUBLE) + 0.5 * sin(k * 2 * pi() / 8), 6) AS py FROM embeddings, range(8) r(k)")
+def t1_marker_rings(spark, d):
+    from .operators.trees import ring
+
+    return ring(M.cloud_emb(spark, d).withColumn("r", F.lit(0.5)), "r", 8).select("ord", "k", r6("px").alias("px"), r6("py").alias("py"))
+
+
+@query()
+def g2_elastic_ground(spark, d):
+    from .operators.ground import classify_ground_elastic
+
+    return classify_ground_elastic(_scene(spark), 1.5, 0.5).groupBy("part", "ground").agg(F.count("*").alias("n"))
+
+
+@query()
+def g3_liquid_ground(spark, d):
+    from .operators.ground import classify_ground
+
+    return classify_ground(_scene(spark), 1.0, 0.4).groupBy("part", "ground").agg(F.count("*").alias("n"))
+
+
+@query()
+def g7_power_lines(spark, d):
+    from .operators.ground import line_candidates
+    from .operators.powerline import trace
+
+    scene = _scene(spark)
+    return trace(line_candidates(scene, scene.where("classification = 2"), 4.0, 1.0))[1].select("line", "points", r6("length").alias("length"), r6("sag").alias("sag"))
+
+
+@query()
+def g8_fit_plane(spark, d):
+    from .operators.fitting import fit_plane
+
+    p = fit_plane(_scene(spark), 0.05)
+    return spark.createDataFrame([(*p.normal, p.d, p.inliers)], "nx double, ny double, nz double, d double, inliers long")
+
+
+@query()
+def g9_fit_cylinder(spark, d):
+    from .operators.fitting import fit_cylinder
+
+    c = fit_cylinder(_scene(spark).where("part = 3 or part = 2"), 0.02, axis=(0.0, 0.0, 1.0), high=1.0)
+    return spark.createDataFrame([(*c.center, c.radius, c.half_height, c.inliers)], "x double, y double, z double, radius double, half_height double, inliers long")
+
+
+@query()
+def g10_normals(spark, d):
+    from .operators.normals import estimate
+
+    return estimate(M.cloud_emb(spark, d), 0.1, "+z").select("ord", "code")
+
+
+@query()
+def g11_auto_radius(spark, d):
+    from .operators.normals import auto_radius
+
+    return spark.createDataFrame([(float(auto_radius(M.cloud_emb(spark, d), 0.05)),)], "radius double")
+
+
+@query()
+def g13_align_pairs(spark, d):
+    from .operators.registration import align_pairs
+
+    left = M.cloud_emb(spark, d).where("ord < 20").withColumnRenamed("ord", "index")
+    right = left.select("index", (-F.col("y") + 1).alias("x"), F.col("x").alias("y"), (F.col("z") - 2).alias("z"))
+    t = align_pairs(left, right)["translation"]
+    return spark.createDataFrame([tuple(round(v, 6) for v in t)], "x double, y double, z double")
+
+
+@query()
+def g14_icp(spark, d):
+    from .operators.registration import icp
+
+    cloud = M.cloud_emb(spark, d)
+    got = icp(cloud, cloud.select("ord", (F.col("x") + 0.01).alias("x"), (F.col("y") - 0.01).alias("y"), "z"))
+    return spark.createDataFrame([(round(got["translation"][0], 4), round(got["translation"][1], 4), len(got["rms"]))], "x double, y double, rounds int")
+
+
+@query()
+def g15_gicp(spark, d):
+    from .operators.registration import gicp
+
+    cloud = M.cloud_emb(spark, d)
+    got = gicp(cloud, cloud.select("ord", (F.col("x") + 0.01).alias("x"), (F.col("y") - 0.01).alias("y"), "z"))
+    return spark.createDataFrame([(round(got["translation"][0], 3), round(got["translation"][1], 3))], "x double, y double")
+
+
+def _octree_sql(cell: int, depth: int) -> str:
+    top = (1 << depth) - 1
+    step = ", ".join(f"CAST(least(floor(({n} - m{n}) / size * {1 << depth}), {top}) AS BIGINT) AS i{n}" for n in "xyz")
+    code = "1"
+    for k in range(depth - 1, -1, -1):
+        code = f"({code}) * 8 + ((ix >> {k}) & 1) * 4 + ((iy >> {k}) & 1) * 2 + ((iz >> {k}) & 1)"
+    counts = ", ".join(f"count(*) OVER (PARTITION BY path >> {3 * (depth - k)}) AS n{k}" for k in range(depth))
+    level = "CASE " + " ".join(f"WHEN n{k} <= {cell} THEN {k}" for k in range(depth)) + f" ELSE {depth} END"
+    return f"WITH {EMB}, b AS (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS size FROM cloud), i AS (SELECT ord, {step} FROM cloud, b), p AS (SELECT ord, CAST({code} AS BIGINT) AS path FROM i), c AS (SELECT *, {counts} FROM p), l AS (SELECT ord, path, {level} AS depth FROM c) SELECT ord, CAST(depth AS INTEGER) AS depth, path >> (3 * ({depth} - depth)) AS leaf FROM l"
+
+
+@query(_octree_sql(32, 4))
+def g16_octree(spark, d):
+    from .operators.octree import assign
+
+    return assign(M.cloud_emb(spark, d), 32, 4).select("ord", "depth", "leaf")
+
+
+@query()
+def g17_budgeted_sample(spark, d):
+    from .operators.octree import assign, budget
+
+    return budget(assign(M.cloud_emb(spark, d), 32, 4), 120).select("ord")
+
+
+@query(f"WITH {EMB} SELECT ord, floor(round(x, 3) * 1000 + 0.5) AS x, CAST(abs(classification) AS SMALLINT) AS classification FROM cloud")
+def k4_las_round_trip(spark, d):
+    from .plans.lineage import folder
+    from .sources.las import read_las, write_las
+
+    points = M.cloud_emb(spark, d).select("ord", *[F.round(n, 3).alias(f"o{n}") for n in "xyz"], F.col("classification").cast("smallint").alias("classification"), F.lit(0).alias("treeid"))
+    # A box whose centre lies on the grid of 0.001, so that all coordinates do.
+    corners = spark.createDataFrame([(1_000_000, -1.0, -1.0, -1.0, 0, 0), (1_000_001, 1.0, 1.0, 1.0, 0, 0)], "ord long, ox double, oy double, oz double, classification smallint, treeid int")
+    path = folder(spark) + ".las"
+    kept = G.numbered(points, "ord", "place").withColumn("place", F.col("place") - 1)
+    write_las(points.unionByName(corners.withColumn("classification", F.col("classification").cast("smallint"))), path)
+    back = read_las(spark, path).join(kept.select("ord", "place").withColumnRenamed("ord", "own"), F.col("ord") == F.col("place"))
+    return back.select(F.col("own").alias("ord"), F.floor(F.col("ox") * 1000 + 0.5).cast("double").alias("x"), "classification")
+
+
+@query(f"WITH {EMB} SELECT count(*) AS n, round(min(x), 9) AS min_x, round(max(z), 9) AS max_z FROM cloud")
+def k1_ply_round_trip(spark, d):
+    from .plans.lineage import folder
+    from .sources.ply import read_ply, write_ply
+
+    points = M.cloud_emb(spark, d).select("ord", *[F.col(n).alias(f"o{n}") for n in "xyz"], F.col("classification").cast("smallint").alias("classification"), F.lit(0).alias("treeid"))
+    path = folder(spark) + ".ply"
+    write_ply(points, path)
+    return read_ply(spark, path).agg(F.count("*").alias("n"), F.round(F.min("ox"), 9).alias("min_x"), F.round(F.max("oz"), 9).alias("max_z"))
