@@ -230,8 +230,15 @@ class Grid:
         todo, reach = np.arange(n), 1
         cell = self._cell(q)
         while len(todo):
-            box = np.arange(-reach, reach + 1)
-            around = np.stack(np.meshgrid(box, box, box, indexing="ij"), axis=-1).reshape(-1, 3)
+            span = [np.arange(-min(reach, m - 1), min(reach, m - 1) + 1) for m in self.shape.tolist()]
+            if math.prod(map(len, span)) > max(27, 2 * len(self.p)):  # more cells than points: look at all of them
+                for at in range(0, len(todo), max(1, 1_000_000 // len(self.p))):
+                    own = todo[at : at + max(1, 1_000_000 // len(self.p))]
+                    d = ((q[own][:, None] - self.p[None]) ** 2).sum(axis=2)
+                    top = np.lexsort((np.broadcast_to(self.order, d.shape), d), axis=1)[:, :k]
+                    best[own], where[own] = np.take_along_axis(d, top, axis=1), self.order[top]
+                break
+            around = np.stack(np.meshgrid(*span, indexing="ij"), axis=-1).reshape(-1, 3)
             whole = (reach >= self.shape).all()
             done = np.zeros(len(todo), dtype=bool)
             step = max(1, 2_000_000 // (len(around) * 4))

@@ -38,3 +38,28 @@ def ring(centers: DataFrame, radius: str, segments: int = 64) -> DataFrame:
     turn = F.col("k") * (2 * math.pi / segments)
     each = centers.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
     return each.withColumns({"px": F.col("x") + F.col(radius) * F.cos(turn), "py": F.col("y") + F.col(radius) * F.sin(turn)})
+
+
+def isolate_trees(points: DataFrame, cell1: float = 0.05, near1: int = 5, strength1: float = 1.0, cell2: float = 0.1, near2: int = 10, gap: float = 2.0, strength2: float = 10.0, near3: int = 10, lift: float = 0.5, vertical: float = 0.5) -> DataFrame:
+    """points (entity_id, ord, x, y, z; without ground) with tree 1..K within each entity.
+
+    An entity, a plot, is one task: the graph cuts look at all of it. Points that share a
+    cell of the first grid are thinned to one before they reach that task, and get its tree
+    afterwards, so a task holds no more points than its plot has cells.
+    """
+    from ..kernels.trees import TreeParams, isolate
+
+    params = TreeParams(cell1, near1, strength1, cell2, near2, gap, strength2, near3, lift, vertical)
+    low = points.groupBy("entity_id").agg(*[F.min(n).alias(f"__{n}") for n in "xyz"])
+    keys = [f"__c{n}" for n in "xyz"]
+    own = points.join(low, "entity_id").withColumns({f"__c{n}": F.floor((F.col(n) - F.col(f"__{n}")) / cell1) for n in "xyz"}).drop(*[f"__{n}" for n in "xyz"])
+    first = own.groupBy("entity_id", *keys).agg(F.min_by(F.struct("ord", "x", "y", "z"), "ord").alias("p")).select("entity_id", *keys, "p.*")
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by("ord")
+        tree = isolate(np.stack([t[n].to_numpy().astype(float) for n in "xyz"], axis=1), params)
+        return t.select(["entity_id", *keys]).append_column("tree", pa.array(tree.astype(np.int32)))
+
+    schema = ", ".join(["entity_id " + dict(points.dtypes)["entity_id"], *[f"{k} bigint" for k in keys], "tree int"])
+    trees = first.groupBy("entity_id").applyInArrow(run, schema)
+    return own.join(trees, ["entity_id", *keys]).drop(*keys)

@@ -730,3 +730,17 @@ def k1_ply_round_trip(spark, d):
     path = folder(spark) + ".ply"
     write_ply(points, path)
     return read_ply(spark, path).agg(F.count("*").alias("n"), F.round(F.min("ox"), 9).alias("min_x"), F.round(F.max("oz"), 9).alias("max_z"))
+
+
+@query()
+def g4_isolated_trees(spark, d):
+    from .operators.trees import isolate_trees
+
+    h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10_000)) / 10_000.0
+    n = spark.range(1200).withColumn("k", F.col("id") % 2)
+    trunk = F.col("id") % 3 == 0
+    x = F.col("k") * 8 + F.when(trunk, 0.15 * F.cos(F.col("id"))).otherwise(h(1) * 2 - 1)
+    y = F.when(trunk, 0.15 * F.sin(F.col("id"))).otherwise(h(2) * 2 - 1)
+    z = F.when(trunk, h(3) * 5).otherwise(5 + h(4) * 2)
+    stand = n.select(F.lit(1).alias("entity_id"), F.col("id").alias("ord"), x.alias("x"), y.alias("y"), z.alias("z"), "k")
+    return isolate_trees(stand, cell1=0.2, cell2=0.3).groupBy("k", "tree").agg(F.count("*").alias("n"))
