@@ -80,7 +80,7 @@ def _pack_chunks(limit: int, extra: bool):
             table = pa.Table.from_batches(held).combine_chunks()
             texts = table["__text"].combine_chunks()
             data, offs = T.buffers(texts)
-            parts = [dump(doc_id=table["__id"].to_numpy(), lengths=np.diff(offs)), zstandard.ZstdCompressor(level=1).compress(data.tobytes())]
+            parts = [dump(doc_id=table["__id"].to_numpy(), lengths=np.diff(offs)), zstandard.ZstdCompressor(level=3).compress(data.tobytes())]
             if extra:
                 sink = pa.BufferOutputStream()
                 more = table.drop_columns(["__id", "__text"])

@@ -31,7 +31,8 @@ FOLDS, HELD_OUT = 5, 1
 #: Counts up to SMALL are discounted.
 SMALL = 5
 START, END = U64(0x5EED5EED00000001), U64(0x5EED5EED00000002)
-_SHORT = U64((1 << 48) - 1)
+#: Within a history, words go by the upper bits of their hashes: 40 bits.
+_SHORT = U64(24)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -150,16 +151,30 @@ def _ask_pairs(n_buckets: int):
         counts = _counts(found)
         p = _Pairs(at, key, word, train, counts)
         word_of = p.word[p.order]
-        short, count, low = key[word_of] & _SHORT, p.count[p.order], counts[word_of]
+        count = p.count[p.order]
+        low = np.where(count > 0, counts[word_of], 0)  # a pair that was trained on comes with it from some chunk
+        # Words of a history are in order of their hashes: differences are shorter.
+        short = key[word_of] >> _SHORT
+        first = np.append(True, p.names[1:] != p.names[:-1]) if len(short) else np.zeros(0, bool)
+        short = np.where(first, short, np.diff(short, prepend=U64(0)))
         cut = B.split(p.names, n_buckets)
         return B.rows([(chunk, "pairs", b, B.dump(sorted_history=p.names[i:j], word=short[i:j], count=count[i:j], low=low[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i])
 
     return run
 
 
+def _absolute(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A block with words instead of differences within each history."""
+    h, w = x["sorted_history"], x["word"]
+    first = np.append(True, h[1:] != h[:-1])
+    total = np.cumsum(w, dtype=U64)
+    base = (total - w)[first]
+    return x | {"word": total - base[np.cumsum(first) - 1]}
+
+
 def _answer_pairs(lower: Unigrams):
     def run(table: pa.Table) -> pa.RecordBatch:
-        asked = [B.load(x) for x in table["body"].to_pylist()]
+        asked = [_absolute(B.load(x)) for x in table["body"].to_pylist()]
         history, word, count, low = (np.concatenate([x[k] for x in asked]) for k in ("sorted_history", "word", "count", "low"))
         order = np.lexsort((word, history))
         h, w = history[order], word[order]
@@ -169,7 +184,7 @@ def _answer_pairs(lower: Unigrams):
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         # Histories: count, continuations by small counts, lower-order mass of continuations.
-        h, mass = h[at], np.where(total > 0, lower(low[order][at]), 0.0)
+        h, mass = h[at], np.where(total > 0, lower(np.maximum.reduceat(low[order], at)), 0.0)
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         names = h[first]
         size = np.add.reduceat(total, first)
