@@ -38,22 +38,18 @@ def statistical_filter(points: DataFrame, k: int = 10, lam: float = 1.0, cell: f
 def voxel_downsample(points: DataFrame, leaf: float) -> DataFrame:
     """Of each cell of edge ``leaf`` the real point nearest to the cell's centroid, ties to the smallest ord.
 
-    A leaf that is not positive keeps all. Sums run in order of ord, so ties fall alike
-    however the rows are dealt out. The cell's coordinates come together as one array to be
-    summed in that order; only ord and coordinates do.
+    A leaf that is not positive keeps all. Coordinates are summed as decimals, exactly, so
+    the centroid does not depend on the order of rows; both passes aggregate before they
+    shuffle, so a cell may hold any share of the rows.
     """
     if not leaf > 0:
         return points
-    cells = [F.floor(F.col(n) / F.lit(leaf)).cast("long").alias(f"c{n}") for n in AXES]
-    spots = points.select("ord", *AXES, *cells)
-    listed = spots.groupBy("cx", "cy", "cz").agg(F.array_sort(F.collect_list(F.struct("ord", *AXES))).alias("p"))
-
-    def total(n: str) -> Column:
-        return F.aggregate("p", F.lit(0.0), lambda a, e: a + e[n]) * (F.lit(1.0) / F.size("p"))
-
-    listed = listed.withColumns({f"m{n}": total(n) for n in AXES})
-    gap = F.transform("p", lambda e: F.struct(((e["x"] - F.col("mx")) * (e["x"] - F.col("mx")) + (e["y"] - F.col("my")) * (e["y"] - F.col("my")) + (e["z"] - F.col("mz")) * (e["z"] - F.col("mz"))).alias("d2"), e["ord"].alias("ord")))
-    kept = listed.select(F.array_min(gap)["ord"].alias("ord"))
+    keys = ["cx", "cy", "cz"]
+    spots = points.select("ord", *AXES, *[F.floor(F.col(n) / F.lit(leaf)).cast("long").alias(f"c{n}") for n in AXES])
+    exact = [(F.sum(F.col(n).cast("decimal(38,18)")).cast("double") * (F.lit(1.0) / F.count("*"))).alias(f"m{n}") for n in AXES]
+    centers = spots.groupBy(keys).agg(*exact)
+    gap = sum(((F.col(n) - F.col(f"m{n}")) * (F.col(n) - F.col(f"m{n}")) for n in AXES), F.lit(0.0))
+    kept = spots.join(centers, keys).groupBy(keys).agg(F.min(F.struct(gap.alias("d2"), "ord")).alias("p")).select("p.ord")
     return points.join(kept, "ord", "left_semi")
 
 
