@@ -646,6 +646,13 @@ def g10_normals(spark, d):
     return estimate(M.cloud_emb(spark, d), 0.1, "+z").select("ord", "code")
 
 
+@query()
+def g10_normals_quadric(spark, d):
+    from .operators.normals import estimate
+
+    return estimate(M.cloud_emb(spark, d), 0.12, "+z", "quadric").select("ord", "code")
+
+
 @query()
 def g11_auto_radius(spark, d):
     from .operators.normals import auto_radius

@@ -219,3 +219,17 @@ def test_stream(spark, tmp_path):
         q = df.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
         q.awaitTermination(60)
     assert spark.table("box").first().max_z == 6 and {(r.bin, r.n) for r in spark.table("hist").collect()} == {(0, 1), (3, 1), (5, 1)}
+
+
+def test_quadric_normals_on_a_sphere(spark):
+    rng = np.random.default_rng(13)
+    n = rng.normal(size=(1500, 3))
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    n[:, 2] = np.abs(n[:, 2])
+    df = cloud(spark, 4 * n + [1, 2, 3])
+    worst = {}
+    for model in ("plane", "quadric"):
+        got = {r.ord: (r.nx, r.ny, r.nz) for r in N.estimate(df, 1.0, "+z", model).collect()}
+        cos = [abs(np.dot(got[k], n[k])) for k in range(1500) if n[k, 2] < 0.3]  # near the rim
+        worst[model] = np.degrees(np.arccos(np.clip(np.mean(cos), -1, 1)))
+    assert worst["quadric"] < 1.5 and worst["quadric"] < worst["plane"]
