@@ -45,9 +45,17 @@ def byte_to_linear_byte(v: Column) -> Column:
     return half_up(byte_to_linear(v) * 255)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _wheel(hue: Column, c: Column, m: Column) -> Column:
     """Bytes r, g, b on the hue circle for chroma c and offset m."""
-    h = F.pmod(hue, F.lit(360.0)) / 60
+    return let(F.struct((F.pmod(hue, F.lit(360.0)) / 60).alias("h"), c.alias("c"), m.alias("m")), lambda v: _sextant(v["h"], v["c"], v["m"]))
+
+
+def _sextant(h: Column, c: Column, m: Column) -> Column:
     x = c * (1 - F.abs(F.pmod(h, F.lit(2.0)) - 1))
     zero = F.lit(0.0)
     pick = lambda *six: F.when(h < 1, six[0]).when(h < 2, six[1]).when(h < 3, six[2]).when(h < 4, six[3]).when(h < 5, six[4]).otherwise(six[5])
@@ -61,7 +69,10 @@ def hsl_to_rgb(h: Column, s: Column, light: Column) -> Column:
 
 
 def rgb_to_hsl(r: Column, g: Column, b: Column) -> Column:
-    r, g, b = r / 255, g / 255, b / 255
+    return let(F.struct((r / 255).alias("r"), (g / 255).alias("g"), (b / 255).alias("b")), lambda v: _hsl(v["r"], v["g"], v["b"]))
+
+
+def _hsl(r: Column, g: Column, b: Column) -> Column:
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     d, light = top - low, (top + low) / 2
     hue = F.when(top == r, 60 * (((g - b) / d) % 6)).when(top == g, 60 * ((b - r) / d + 2)).otherwise(60 * ((r - g) / d + 4))
@@ -82,9 +93,8 @@ def point_colour(label: Column, kept: Column, base: int = 1) -> Column:
 
 def derived_shade(r: Column, g: Column, b: Column, index: Column, count: Column) -> Column:
     """The index-th of count shades of one colour, the brightest first."""
-    hsl = rgb_to_hsl(r, g, b)
-    light = hsl["l"] + ((count - 1) / 2 - index) * SHADE_STEP
-    return hsl_to_rgb(hsl["h"], hsl["s"], F.least(F.lit(SHADE_MOST), F.greatest(F.lit(SHADE_LEAST), light)))
+    offset = ((count - 1) / 2 - index) * SHADE_STEP
+    return let(rgb_to_hsl(r, g, b), lambda v: hsl_to_rgb(v["h"], v["s"], F.least(F.lit(SHADE_MOST), F.greatest(F.lit(SHADE_LEAST), v["l"] + offset))))
 
 
 def class_colour(value: Column) -> Column:
@@ -126,9 +136,16 @@ def normalize_range(axis_low: Column, axis_high: Column, low: Column, high: Colu
     return F.struct(F.when(bad, axis_low).when(narrow, narrow_lo).otherwise(lo).alias("min"), F.when(bad, axis_high).when(narrow, narrow_hi).otherwise(hi).alias("max"))
 
 
-def colour_mode(has_label: Column, has_rgb: Column) -> Column:
-    """The first mode that the cloud can show."""
-    return F.when(has_label, "label").when(has_rgb, "rgb").otherwise("none")
+def colour_mode(mode: Column, has_label: Column, has_rgb: Column, has_normals: Column) -> Column:
+    """The mode that a cloud can show: label falls back to rgb, rgb and normal to none."""
+    rgb = F.when(has_rgb, "rgb").otherwise("none")
+    return F.when((mode == "label") & ~has_label, rgb).when(mode == "rgb", rgb).when((mode == "normal") & ~has_normals, "none").otherwise(mode)
+
+
+def normal_colour(nx: Column, ny: Column, nz: Column) -> Column:
+    """Linear bytes of a unit normal; black where there is none."""
+    none = (nx == 0) & (ny == 0) & (nz == 0)
+    return F.struct(*[F.when(none, 0).otherwise(half_up(srgb_to_linear((c + 1) / 2) * 255)).alias(n) for c, n in zip((nx, ny, nz), "rgb", strict=True)])
 
 
 def las_colour(raw: Column, most: Column) -> Column:

@@ -66,11 +66,34 @@ def shift_line(x: Column, y: Column, z: Column) -> Column:
     return F.concat(F.lit("("), fixed(-x, 2), F.lit(";"), fixed(-y, 2), F.lit(";"), fixed(-z, 2), F.lit(")"))
 
 
-def scale_bar(units: Column) -> Column:
-    """The largest of 1, 2, 5 times a power of ten that is no longer than the length."""
-    power = F.pow(F.lit(10.0), F.floor(F.log10(units)))
-    f = units / power
-    return F.when(f >= 5, 5.0).when(f >= 2, 2.0).otherwise(1.0) * power
+def scale_bar(width: Column) -> Column:
+    """The width rounded down to a multiple, at least one, of half its power of ten."""
+    step = F.pow(F.lit(10.0), F.floor(F.log10(width))) / 2
+    return F.floor(F.greatest(width / step, F.lit(1.0))) * step
+
+
+def scale_label(value: Column) -> Column:
+    """As many decimals as the magnitude asks for, without zeros at the end; empty unless positive and finite."""
+    digits = F.greatest(F.lit(0), F.least(F.lit(12), 1 - F.floor(F.log10(value)))).cast("int")
+    text = F.format_string("%.0f", value)
+    for d in range(1, 13):
+        text = F.when(digits == d, F.regexp_replace(F.format_string(f"%.{d}f", value), r"\.?0+$", "")).otherwise(text)
+    bad = value.isNull() | F.isnan(value) | (value <= 0) | (value == float("inf"))
+    return F.when(bad, "").otherwise(text)
+
+
+def half_height(fov_degrees: Column, distance: Column) -> Column:
+    """Half of what a camera sees at a distance."""
+    return distance * F.tan(F.radians(fov_degrees) / 2)
+
+
+def camera_distance(top: Column, fov_degrees: Column, zoom: Column) -> Column:
+    """The distance at which a perspective camera sees as much as an orthographic one."""
+    return top / (zoom * F.tan(F.radians(fov_degrees) / 2))
+
+
+def units_per_pixel(top: Column, zoom: Column, pixels: Column) -> Column:
+    return 2 * top / (zoom * pixels)
 
 
 def packed(node: Column, index: Column, bits: int = 24) -> Column:
@@ -89,6 +112,8 @@ def child_index(mask: Column, octant: Column) -> Column:
     return F.when(mask.bitwiseAND(bit) == 0, -1).otherwise(F.bit_count(mask.bitwiseAND(bit - 1)))
 
 
-def file_name(name: Column) -> Column:
-    """A name without characters that file systems refuse."""
-    return F.regexp_replace(F.trim(name), r'[\\/:*?"<>|]', "_")
+def file_name(name: Column, extension: str) -> Column:
+    """A name for saving: without its source's extension, without characters that file systems refuse, cloud if nothing is left."""
+    base = F.regexp_replace(name, r"(?i)\.(ply|las|laz|pcd|xyz|txt)$", "")
+    safe = F.trim(F.regexp_replace(base, r'[\\/:*?"<>|]', "_"))
+    return F.concat(F.when(safe.rlike("^_*$"), "cloud").otherwise(safe), F.lit(f".{extension}"))

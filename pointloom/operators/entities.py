@@ -104,5 +104,8 @@ def pair(entities: DataFrame, ids: list[int]) -> list:
     return [found[k] for k in ids]
 
 
-def merged_name(*names: str) -> Column:
-    return F.concat_ws("+", *[F.lit(n) for n in names])
+def merged_name(lead: Column, numbers: Column, new: Column) -> Column:
+    """A merged product's name: Tree or Cluster and the new number, else the lead's own; the sources' numbers in brackets."""
+    family = F.regexp_extract(lead, r"^(Tree|Cluster)\b", 1)
+    base = F.when(family != "", F.concat(family, F.lit(" "), new.cast("string"))).otherwise(lead)
+    return F.when(F.size(numbers) > 0, F.concat(base, F.lit(" ("), F.array_join(F.transform(numbers, lambda k: k.cast("string")), "+"), F.lit(")"))).otherwise(base)

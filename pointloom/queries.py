@@ -391,9 +391,12 @@ def e7_guarded_labels(spark, d):
     return E.guard(M.cloud_emb(spark, d).where("classification > 0").select(F.col("classification").alias("label")).distinct(), 2000, "clusters")
 
 
-@query("SELECT 'a+b+c' AS name")
+@query("SELECT CAST(i AS INTEGER) AS i, [CASE WHEN starts_with(l, 'Tree ') OR l = 'Tree' THEN 'Tree ' || (i + 9) ELSE l END || CASE WHEN i % 2 = 0 THEN '' ELSE ' (' || i || '+' || (i + 1) || ')' END][1] AS name FROM (SELECT i, ['Tree 3', 'Treetop', 'plot.las', 'Tree'][i % 4 + 1] AS l FROM range(8) t(i))")
 def e8_merged_name(spark, d):
-    return spark.range(1).select(E.merged_name("a", "b", "c").alias("name"))
+    i = F.col("id").cast("int")
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("Tree 3", "Treetop", "plot.las", "Tree")]), (i % 4 + 1).cast("int"))
+    numbers = F.when(i % 2 == 0, F.array().cast("array<int>")).otherwise(F.array(i, i + 1))
+    return spark.range(8).select(i.alias("i"), E.merged_name(lead, numbers, i + 9).alias("name"))
 
 
 @query(f"WITH {EMB} SELECT classification AS entity_id, count(*) AS n FROM cloud WHERE classification NOT IN (2, 5) GROUP BY 1")
@@ -526,6 +529,52 @@ def m5_screen_positions(spark, d):
     return M.cloud_emb(spark, d).select("ord", F.round(at["px"], 4).alias("px"), F.round(at["py"], 4).alias("py"))
 
 
+@query("SELECT CAST(i AS INTEGER) AS i, CASE WHEN m = 'label' AND i % 2 = 0 THEN CASE WHEN i % 3 = 0 THEN 'rgb' ELSE 'none' END WHEN m = 'rgb' THEN CASE WHEN i % 3 = 0 THEN 'rgb' ELSE 'none' END WHEN m = 'normal' AND i % 5 <> 0 THEN 'none' ELSE m END AS mode FROM (SELECT i, ['label', 'rgb', 'normal', 'elevation'][i % 4 + 1] AS m FROM range(60) t(i))")
+def c7_colour_modes(spark, d):
+    i = F.col("id").cast("int")
+    mode = F.element_at(F.array(*[F.lit(x) for x in ("label", "rgb", "normal", "elevation")]), (i % 4 + 1).cast("int"))
+    return spark.range(60).select(i.alias("i"), C.colour_mode(mode, i % 2 != 0, i % 3 == 0, i % 5 == 0).alias("mode"))
+
+
+@query(f"WITH {EMB}, u AS (SELECT ord, (x / sqrt(x * x + y * y + z * z) + 1) / 2 AS r, (y / sqrt(x * x + y * y + z * z) + 1) / 2 AS g, (z / sqrt(x * x + y * y + z * z) + 1) / 2 AS b FROM cloud) SELECT ord, " + ", ".join(f"CAST(floor((CASE WHEN {c} <= 0.04045 THEN {c} / 12.92 ELSE pow(({c} + 0.055) / 1.055, 2.4) END) * 255 + 0.5) AS INTEGER) AS {c}" for c in "rgb") + " FROM u")
+def c8_normal_colours(spark, d):
+    n = F.sqrt(F.expr("x * x + y * y + z * z"))
+    return M.cloud_emb(spark, d).select("ord", *spread(C.normal_colour(F.col("x") / n, F.col("y") / n, F.col("z") / n), "r", "g", "b"))
+
+
+@query()
+def c9_derived_shades(spark, d):
+    rows = spark.range(22).join(spark.range(3).withColumnRenamed("id", "k"), F.lit(True))
+    c = C.class_colour(F.col("id"))
+    return rows.select("id", "k", *spread(C.derived_shade(c["r"], c["g"], c["b"], F.col("k"), F.lit(3)), "r", "g", "b"))
+
+
+@query("SELECT CAST(k AS INTEGER) AS k, CAST(CASE WHEN k % 2 = 0 THEN (k * 257) >> 8 ELSE k END AS INTEGER) AS v FROM range(256) t(k)")
+def s5_las_colours(spark, d):
+    k = F.col("id").cast("int")
+    return spark.range(256).select(k.alias("k"), C.las_colour(F.when(k % 2 == 0, k * 257).otherwise(k), F.when(k % 2 == 0, 65535).otherwise(200)).cast("int").alias("v"))
+
+
+@query(f"WITH {EMB}, b AS (SELECT (min(x) + max(x)) / 2 AS bx, (min(y) + max(y)) / 2 AS by_, (min(z) + max(z)) / 2 AS bz FROM cloud) SELECT ord, CAST(x - bx AS FLOAT) AS x, CAST(y - by_ AS FLOAT) AS y, CAST(z - bz AS FLOAT) AS z FROM cloud, b")
+def s11_display_coordinates(spark, d):
+    cloud = M.cloud_emb(spark, d)
+    original = cloud.select("ord", *[F.col(n).alias(f"o{n}") for n in "xyz"])
+    return M.display(original, M.base_point(A.bbox(cloud))).select("ord", "x", "y", "z")
+
+
+@query("SELECT p_partkey AS k, floor(greatest(w / (pow(10, floor(log10(w))) / 2), 1)) * (pow(10, floor(log10(w))) / 2) AS bar, round(2 * 3.0 / (2.0 * w), 9) AS per_pixel FROM (SELECT p_partkey, p_retailprice / 7 AS w FROM part)")
+def m6_scale_bars(spark, d):
+    w = F.col("p_retailprice") / 7
+    return M.table(spark, d, "part").select(F.col("p_partkey").alias("k"), S.scale_bar(w).alias("bar"), F.round(S.units_per_pixel(F.lit(3.0), F.lit(2.0), w), 9).alias("per_pixel"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, ['a.las', 'a_b_c.ply', 'cloud.las', 'x.las.bak.las', 'cloud.las', 'Tree 6 (3+5).las'][i + 1] AS name, ['0.05', '0.65', '5', '12', '150', '0.5'][i + 1] AS label FROM range(6) t(i)")
+def k8_file_names(spark, d):
+    rows = [(0, "a.LAS", "las", 0.05), (1, "a/b:c", "ply", 0.65), (2, "///", "las", 5.0), (3, "x.las.bak", "las", 12.0), (4, "", "las", 150.0), (5, "Tree 6 (3+5)", "las", 0.5)]
+    df = spark.createDataFrame(rows, "i int, raw string, ext string, v double")
+    return df.select("i", F.when(F.col("ext") == "las", S.file_name(F.col("raw"), "las")).otherwise(S.file_name(F.col("raw"), "ply")).alias("name"), S.scale_label(F.col("v")).alias("label"))
+
+
 # Models, rasters and files: on a scene made here where the tables hold no geometry
 
 
