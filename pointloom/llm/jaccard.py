@@ -140,12 +140,13 @@ def _gather(size: int, percent: int, n_buckets: int):
                 h, bounds = shingles(tokens, at, size)
                 high, low = set_hashes(h, bounds)
                 n = np.diff(bounds)
-                yield _rows("doc", ids, n, _signed(high), _signed(low), [None] * len(ids))
                 # Of equal sets in the batch the least document stands for all.
                 order = np.lexsort((ids, low, high))
-                same = np.append(False, (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1]))
-                rep = np.zeros(len(ids), dtype=bool)
-                rep[order[~same]] = True
+                new = ~np.append(np.zeros(min(1, len(ids)), bool), (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1]))
+                rep, stands = np.zeros(len(ids), dtype=bool), np.empty(len(ids), np.int64)
+                rep[order[new]] = True
+                stands[order] = ids[order[new]][np.cumsum(new) - 1]
+                yield _rows("doc", ids, n, _signed(high), _signed(low), [None] * len(ids), stands, rep)
                 keys, doc = signatures(h, bounds, percent, rep)
                 order = np.argsort(keys, kind="stable")
                 keys, doc = keys[order], ids[doc[order]]
@@ -156,12 +157,13 @@ def _gather(size: int, percent: int, n_buckets: int):
     return run
 
 
-_GATHERED = "kind string, id long, n long, high long, low long, body binary"
+_GATHERED = "kind string, id long, n long, high long, low long, body binary, stands long, rep boolean"
 
 
-def _rows(kind, ids, n, high, low, body) -> pa.RecordBatch:
-    none = pa.nulls(len(ids), pa.int64())
-    return pa.record_batch([pa.array([kind] * len(ids), pa.string()), pa.array(ids, pa.int64()), *[none if x is None else pa.array(x, pa.int64()) for x in (n, high, low)], pa.array(body, pa.binary())], names=["kind", "id", "n", "high", "low", "body"])
+def _rows(kind, ids, n, high, low, body, stands=None, rep=None) -> pa.RecordBatch:
+    own = lambda x, t: pa.nulls(len(ids), t) if x is None else pa.array(x, t)
+    numbers = [own(x, pa.int64()) for x in (n, high, low)]
+    return pa.record_batch([pa.array([kind] * len(ids), pa.string()), pa.array(ids, pa.int64()), *numbers, pa.array(body, pa.binary()), own(stands, pa.int64()), own(rep, pa.bool_())], names=["kind", "id", "n", "high", "low", "body", "stands", "rep"])
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -263,10 +265,11 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     n = B.buckets(docs.sparkSession)
     gathered = written(picked.mapInArrow(_gather(size, percent, n), _GATHERED))
-    each = gathered.where("kind = 'doc'").select(F.col("id").alias("doc_id"), "n", "high", "low")
-    full = each.where("n > 0")
-    least = full.groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
-    copies = written(full.join(least, ["high", "low"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
+    each = gathered.where("kind = 'doc'").select(F.col("id").alias("doc_id"), "n", "stands", "high", "low", "rep")
+    # One row of each batch and set: a group of copies has no more of them than there are batches.
+    reps = each.where("rep and n > 0").select("doc_id", "high", "low")
+    least = reps.groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
+    copies = written(reps.join(least, ["high", "low"]).where("doc_id <> rep").select("doc_id", "rep"))
     met = gathered.where("kind = 'keys'").select("id", "body").groupBy("id").applyInArrow(_meet, "a long, b long").distinct()
     for side in ("a", "b"):
         met = met.join(copies.select(F.col("doc_id").alias(side), F.col("rep").alias(f"{side}_rep")), side, "left").withColumn(side, F.coalesce(f"{side}_rep", side)).drop(f"{side}_rep")
@@ -280,4 +283,6 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     sent = sets.withColumn("other", other).select("doc_id", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "body")
     links = sent.groupBy("cluster", "i", "j").applyInArrow(_link(percent), "a long, b long")
     joined = connected_components(links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    return each.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    # A set stands for all documents of its batch that have it; empty ones stand for themselves.
+    found = each.select("doc_id", "n", F.when(F.col("n") > 0, F.col("stands")).otherwise(F.col("doc_id")).alias("stands")).join(joined.withColumnRenamed("id", "stands"), "stands", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "stands")).otherwise(F.col("doc_id")).alias("component_id"))
