@@ -27,9 +27,9 @@ from . import text as T
 from .tokens import encoder
 
 CAPACITY = 2048
-#: Pieces longer than capacity / SMALL are grouped; GROUPS is the most sizes they are rounded to.
-SMALL = 4
-GROUPS = 160
+#: (small, groups): pieces longer than capacity / small are grouped, into so many sizes at most. What is
+#: best depends on how many small pieces there are; the plan with fewest sequences is taken.
+SETTINGS = ((3, 400), (2, 400), (4, 160))
 PIECE = "task long, local long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,7 +80,18 @@ class Plan:
         self.total = 0
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, settings: tuple = SETTINGS) -> Plan:
+    """The plan with fewest sequences over the settings; one that no plan can beat ends the search."""
+    bound, best = -(-sum(k * n for k, n in counts.items()) // capacity), None
+    for small, groups in settings:
+        made = _plan(counts, capacity, small, groups)
+        best = made if best is None or made.total < best.total else best
+        if best.total <= bound:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, small: float, groups: int) -> Plan:
     out = Plan()
     left = {k: v for k, v in counts.items() if v > 0}
     rank = dict.fromkeys(left, 0)
@@ -98,7 +109,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
         place(capacity, left[capacity], fresh(left[capacity]), 0)
     # Open sequences by room: (room, first sequence, how many).
     rooms: list[tuple[int, int, int]] = []
-    long = sorted((k for k in left if left[k] and k > capacity // SMALL), reverse=True)
+    long = sorted((k for k in left if left[k] and k > capacity / small), reverse=True)
     total = sum(left[k] for k in long)
     if total:
         # Groups of equal cardinality, as [longest, how many]; a length may stand in several.
@@ -200,7 +211,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int = GROUPS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, settings: tuple = SETTINGS, with_ids: bool = False) -> DataFrame:
     """Pack all documents into as few sequences of at most ``capacity`` tokens as it can.
 
     docs: doc_id long, text string; other columns are not read. tokenizer: the path of a
@@ -214,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int
     pieces = B.written(picked.mapInArrow(_pieces(tokenizer, capacity, with_ids), PIECE + ", ids array<int>" * with_ids))
     each = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    made = plan(counts, capacity, groups)
+    made = plan(counts, capacity, settings)
     lengths = np.array(sorted(made.runs), dtype=np.int64)
     # All runs in order of (length, first rank), keyed by one number.
     wide = max(counts.values(), default=0) + 1
