@@ -43,8 +43,8 @@ def _prepared(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(T.SPACED[data], data, 0x20).astype(np.uint8), np.cumsum([0, *[len(x) + 1 for x in texts]])
 
 
-def _beginnings(texts: list[bytes], size: int):
-    """Hash of each word's first ``size`` bytes, its text, the word before it, and where it stands; by slices."""
+def _beginnings(texts: list[bytes], size: int, only: np.ndarray | None = None):
+    """Hash of each word's first ``size`` bytes (of some only), its text, the word before it, and where it stands; by slices."""
     data, offs = _prepared(texts)
     out = [[np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]]
     for a, z in T.slices(offs):
@@ -55,10 +55,12 @@ def _beginnings(texts: list[bytes], size: int):
         values = own.astype(U64) + U64(1)
         whole = T.segment_hash(values, starts, ends)
         fits = ends - starts >= size
-        out[0].append(T.mix(T.segment_hash(values, starts[fits], starts[fits] + size)))
-        out[1].append((np.repeat(np.arange(z - a), np.diff(at))[fits] + a).astype(U64))
-        out[2].append(np.append(U64(0), whole[:-1])[fits])
-        out[3].append(starts[fits] + offs[a])
+        h = T.mix(T.segment_hash(values, starts[fits], starts[fits] + size))
+        kept = np.flatnonzero(fits) if only is None else np.flatnonzero(fits)[np.isin(h, only)]
+        out[0].append(h if only is None else h[np.isin(h, only)])
+        out[1].append((np.repeat(np.arange(z - a), np.diff(at))[kept] + a).astype(U64))
+        out[2].append(np.append(U64(0), whole[:-1])[kept])
+        out[3].append(starts[kept] + offs[a])
     return data, *[np.concatenate(x) for x in out]
 
 
@@ -77,9 +79,8 @@ def _marks(texts: list[bytes], other: list[bytes]) -> list[bytes]:
         around = _spread(h, before)[1]
         fine = (count >= 8) & (around >= 8)
         key, count = key[fine], count[fine]
-        _, rh, rdoc, _, _ = _beginnings(other, size)
-        inside = np.isin(rh, key)
-        rkey, rcount = _spread(rh[inside], rdoc[inside])
+        _, rh, rdoc, _, _ = _beginnings(other, size, key)
+        rkey, rcount = _spread(rh, rdoc)
         rivalled = np.zeros(len(key))
         rivalled[np.searchsorted(key, rkey)] = rcount
         odds = (count + 0.5) / (len(texts) + 1) * (len(other) + 1) / (rivalled + 0.5)
