@@ -143,6 +143,7 @@ def by_row(df: DataFrame, fn: Callable, schema: str = BLOCK) -> DataFrame:
         for b in batches:
             for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body"), strict=True):
                 yield fn(chunk, body.as_py())
+                T.trim()
 
     return df.mapInArrow(run, schema)
 
@@ -151,7 +152,9 @@ def by_bucket(df: DataFrame, fn: Callable) -> DataFrame:
     """fn(table) -> record batch for all rows of a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([fn(table)])
+        out = pa.Table.from_batches([fn(table)])
+        T.trim()
+        return out
 
     return df.groupBy("bucket").applyInArrow(run, BLOCK)
 
@@ -166,7 +169,9 @@ def by_chunk(frames: list[DataFrame], fn: Callable, schema: str = BLOCK) -> Data
         found: dict[str, dict[int, bytes]] = {}
         for kind, bucket, body in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["body"].to_pylist(), strict=True):
             found.setdefault(kind, {})[bucket] = body
-        return pa.Table.from_batches([fn(table["chunk"][0].as_py(), found)])
+        out = pa.Table.from_batches([fn(table["chunk"][0].as_py(), found)])
+        T.trim()
+        return out
 
     return df.groupBy("chunk").applyInArrow(run, schema)
 

@@ -209,6 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_
             for a, z in T.slices(offs, B.CHUNK_BYTES):
                 words, offsets = T.all_words(*T.of_range(data, offs, a, z), T.ALNUM, lower=True)
                 yield _result(b.column("doc_id").to_numpy(zero_copy_only=False)[a:z], offsets, *_hits(tables.value, words, offsets))
+                T.trim()
 
     return picked.mapInArrow(run, RESULT)
 

@@ -153,6 +153,8 @@ def _gather(size: int, percent: int, n_buckets: int):
                 cut = B.split(keys, n_buckets)
                 full = [k for k in range(n_buckets) if cut[k + 1] > cut[k]]
                 yield _rows("keys", np.array(full, np.int64), None, None, None, [B.dump(sorted_keys=keys[cut[k] : cut[k + 1]], doc=doc[cut[k] : cut[k + 1]]) for k in full])
+                del tokens, h, keys, doc
+                T.trim()
 
     return run
 

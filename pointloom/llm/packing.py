@@ -207,6 +207,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                     out.append(pa.array([[*ids[x:y].tolist(), *[0] * w] for x, y, w in zip(low.tolist(), high.tolist(), end, strict=True)], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.record_batch(out, names=names)
+            T.trim()
 
     return run
 

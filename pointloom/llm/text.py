@@ -7,12 +7,18 @@ because the separators of all word definitions used here are ASCII.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library has no such call
+    _libc = None
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -62,6 +68,13 @@ def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return (sums[ends] - sums[starts]) * powers(n + 1, _INV)[starts]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live long, and their allocators keep what arrays leave."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 class Words:
     """Words of a batch: byte spans, 64-bit hashes and each document's range of words."""
 

@@ -234,7 +234,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     found = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("so_far", size).where(F.col("so_far") <= SAMPLE_BYTES)
     rows = [(r["doc_id"], r["text"].encode(), chosen[r["doc_id"]]) for r in found.select("doc_id", "text").collect()]
     got = [max(1, sum(r[2] == y for r in rows)) for y in (0, 1)]
-    return train(rows, (counts.get(0, 0) / got[0], counts.get(1, 0) / got[1]))
+    model = train(rows, (counts.get(0, 0) / got[0], counts.get(1, 0) / got[1]))
+    T.trim()
+    return model
 
 
 def _in_order():
@@ -260,6 +262,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 got = sent.value.scores(*T.of_range(low, offs, x, y), tools)
                 own = b.slice(x, y - x)
                 yield pa.record_batch([*own.columns, pa.array(got, pa.float64())], names=names)
+            T.trim()
 
     return docs.drop(SCORE).mapInArrow(run, schema)
 
