@@ -22,8 +22,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines are deleted; documents that lose all their lines go."""
-    return lines.deduped(docs)
+    """Later repeated runs of lines are deleted, by lines or by words; documents that lose all their lines go."""
+    return lines.deduped(docs, words=lines.WORDS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 The fingerprint of a window of ``run`` lines is the least hash of its grams of ``gram``
 lines, so each window has one and equal windows have the same. The chunks ask which
-fingerprints stand at two places; the windows of the others cannot repeat. The windows left
+fingerprints stand at two places; the windows of the others cannot repeat. Where repeats also
+qualify by their words, windows of fewer lines that hold that many take part like the others.
+The windows left
 are compared by 128-bit hashes of their lines, and the earliest place of each is found.
 Matching windows at neighbouring places extend each other to both sides: what they cover
 together are the repeated runs, which are deleted but for their first occurrence. Of equal
@@ -23,6 +25,8 @@ from .substring import _groups, _one_or_many, _roots, _window_keys, covered
 from .text import U64
 
 _ROOT = U64((1 << 48) - 1)
+#: Lines, or words, of a repeated run that is deleted.
+RUN, WORDS = 3, 50
 RESULT = "doc_id long, n_lines long, n_removed long, text string"
 
 
@@ -41,13 +45,20 @@ def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _lines(body: bytes):
     ids, data, offs = B.unpack_chunk(body)
-    found, counts = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+    found, counts, words = [np.zeros(0, U64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
     for a, z in T.slices(offs):
         own, bounds = T.of_range(data, offs, a, z)
         s, e, at = spans(own, bounds)
         found.append(T.mix(T.segment_hash(own.astype(U64) + U64(1), s, e) ^ (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)) if len(s) else found[0])
         counts.append(np.diff(at))
-    return ids, data, offs, np.concatenate(found), np.cumsum(np.concatenate(counts))
+        # A word begins at a byte of a word that follows none; a line's first byte follows a break.
+        word = T.SPACED[own]
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        begins[bounds[:-1][np.diff(bounds) > 0]] = word[bounds[:-1][np.diff(bounds) > 0]]
+        sums = np.concatenate([[0], np.cumsum(begins)])
+        words.append(sums[e] - sums[s])
+    return ids, data, offs, np.concatenate(found), np.concatenate(words), np.cumsum(np.concatenate(counts))
 
 
 def _fingerprints(lines: np.ndarray, at: np.ndarray, run: int, gram: int):
@@ -64,15 +75,28 @@ def _fingerprints(lines: np.ndarray, at: np.ndarray, run: int, gram: int):
     return where, doc, least[where]
 
 
-def _ask_prints(n_buckets: int, run: int, gram: int):
+def _windows(lines: np.ndarray, counts: np.ndarray, at: np.ndarray, run: int, gram: int, words: int | None):
+    """First line, lines, document and fingerprint of the windows of ``run`` lines and of fewer with ``words`` words."""
+    found = []
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    for many in range(run if words is None else 1, run + 1):
+        where, doc, prints = _fingerprints(lines, at, many, min(gram, many))
+        if many < run:
+            enough = sums[where + many] - sums[where] >= words
+            where, doc, prints = where[enough], doc[enough], prints[enough]
+        found.append((where, np.full(len(where), many), doc, prints))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _ask_prints(n_buckets: int, run: int, gram: int, words: int | None):
     def go(chunk: int, body: bytes) -> pa.RecordBatch:
-        ids, _, _, lines, at = _lines(body)
+        ids, _, _, lines, counts, at = _lines(body)
         roots = _roots(lines, at)
-        where, doc, prints = _fingerprints(lines, at, run, gram)
+        where, many_lines, doc, prints = _windows(lines, counts, at, run, gram, words)
         # Windows of one text share a fingerprint where they overlap; what counts is a second
         # text, or a window of equal lines at another place of the same text.
         keys, owner, many = _one_or_many(prints, (roots & _ROOT)[doc], np.zeros(len(prints), bool))
-        high, low = _window_keys(lines, where, run)
+        high, low = _window_keys(lines, where, many_lines)
         order = np.lexsort((low, high, doc))
         again = np.flatnonzero((doc[order][1:] == doc[order][:-1]) & (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1]))
         many[np.searchsorted(keys, prints[order[again]])] = True
@@ -97,21 +121,21 @@ def _first_place(high, low, doc_id, line):
     return h[at], lo[at], doc_id[order][at], line[order][at], place
 
 
-def _ask_windows(n_buckets: int, run: int, gram: int):
+def _ask_windows(n_buckets: int, run: int, gram: int, words: int | None):
     def go(chunk: int, found: dict) -> pa.RecordBatch:
-        ids, _, _, lines, at = _lines(found["text"][-1])
+        ids, _, _, lines, counts, at = _lines(found["text"][-1])
         roots = _roots(lines, at)
-        where, doc, prints = _fingerprints(lines, at, run, gram)
+        where, many, doc, prints = _windows(lines, counts, at, run, gram, words)
         told = [B.load(body) for _, body in sorted(found.get("shared", {}).items())]
         shared = np.concatenate([x["shared"] for x in told]) if told else np.zeros(0, bool)
         least = np.concatenate([x["least"] for x in told]) if told else ids[:0]
         copy = least[np.searchsorted(np.unique(roots), roots)] < ids
         stay = shared[np.searchsorted(np.unique(prints), prints)] & ~copy[doc]
-        where, doc = where[stay], doc[stay]
-        high, low = _window_keys(lines, where, run)
+        where, many, doc = where[stay], many[stay], doc[stay]
+        high, low = _window_keys(lines, where, many)
         high, low, doc_id, line, _ = _first_place(high, low, ids[doc], where - at[doc])
         cut = B.split(high, n_buckets)
-        state = (chunk, "state", chunk % n_buckets, B.dump(sorted_where=where, copy=copy))
+        state = (chunk, "state", chunk % n_buckets, B.dump(sorted_where=where, lines=many, copy=copy))
         return B.rows([state] + [(chunk, "windows", b, B.dump(sorted_keys=high[i:j], low=low[i:j], doc=doc_id[i:j], line=line[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i])
 
     return go
@@ -136,23 +160,26 @@ def _answer_windows(table: pa.Table) -> pa.RecordBatch:
     return B.rows(out)
 
 
-def _rewrite(run: int, finish):
+def _rewrite(run: int, words: int | None, finish):
     def go(chunk: int, found: dict) -> pa.RecordBatch:
         body = found["text"][-1]
-        ids, data, offs, lines, at = _lines(body)
+        ids, data, offs, lines, counts, at = _lines(body)
         (state,) = (B.load(x) for x in found["state"].values())
-        where, copy = state["sorted_where"], state["copy"]
+        where, many, copy = state["sorted_where"], state["lines"], state["copy"]
         n = np.diff(at)
         doc = np.repeat(np.arange(len(ids)), n)
         own = doc[where]
         line = where - at[own]
-        high, low = _window_keys(lines, where, run)
+        high, low = _window_keys(lines, where, many)
         told = [B.load(x) for _, x in sorted(found.get("first", {}).items())]
         first_doc = np.concatenate([x["doc"] for x in told]) if told else ids[:0]
         first_line = np.concatenate([x["line"] for x in told]) if told else ids[:0]
         place = _first_place(high, low, ids[own], line)[-1]
         later = (first_doc[place] < ids[own]) | (first_doc[place] == ids[own]) & (first_line[place] < line)
-        gone = covered(where[later], run, len(lines)) | (copy & (n >= run))[doc]
+        whole = n >= run
+        if words is not None:
+            whole |= (n > 0) & (np.bincount(doc, weights=counts, minlength=len(ids)) >= words)
+        gone = covered(where[later], many[later], len(lines)) | (copy & whole)[doc]
         removed = np.bincount(doc[gone], minlength=len(ids)).astype(np.int64)
         texts = []
         for a, z in T.slices(offs):
@@ -176,37 +203,47 @@ def _answer_prints(table: pa.Table) -> pa.RecordBatch:
     return _answer_symbols(table)
 
 
-def _dedup(docs: DataFrame, run: int, gram: int, finish, schema, extra: bool) -> DataFrame:
-    if not 1 <= gram <= run:
-        raise ValueError("1 <= gram <= run must hold")
+def _dedup(docs: DataFrame, run: int, gram: int, words: int | None, finish, schema, extra: bool) -> DataFrame:
+    if not 1 <= gram <= run or words is not None and words < 1:
+        raise ValueError("1 <= gram <= run and 1 <= words must hold")
     n = B.buckets(docs.sparkSession)
     parts = B.chunks(docs, extra=extra)
-    shared = B.by_bucket(B.by_row(parts, _ask_prints(n, run, gram)), _answer_prints)
-    asked = B.by_chunk([parts, shared], _ask_windows(n, run, gram))
+    shared = B.by_bucket(B.by_row(parts, _ask_prints(n, run, gram, words)), _answer_prints)
+    asked = B.by_chunk([parts, shared], _ask_windows(n, run, gram, words))
     told = B.by_bucket(asked, _answer_windows)
-    return B.by_chunk([parts, told], _rewrite(run, finish), schema)
+    return B.by_chunk([parts, told], _rewrite(run, words, finish), schema)
 
 
-def line_dedup(docs: DataFrame, run: int = 3, gram: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, run: int | None = None, gram: int = 2, words: int | None = None) -> DataFrame:
     """Delete the lines covered by a run of ``run`` lines that also begins at an earlier place.
 
+    With ``words``, a run of fewer lines that together hold that many words counts as well:
+    then no run of whole lines with ``run`` lines or ``words`` words is left at a second
+    place of the input. A passage that is only part of a line is not looked for. With neither
+    run nor words given both hold, at RUN and WORDS; with run alone, lines alone count, as in
+    the query's SQL. Words are ``[^\\x20\\x09-\\x0D]+``.
+
     docs: doc_id long, text string; other columns are not read. Lines end at line feeds; an
     empty line is a line; null and empty texts have none. Places are ordered by doc_id, then
     by line number; rows that share a doc_id and hold the same lines are at equal places,
     so neither is later. Runs are judged on the input. Returns per document doc_id, n_lines,
     n_removed and text (the lines that stay, joined by line feeds; empty if none). Rows with
-    a null doc_id go; a document of fewer lines than the run stays whole.
+    a null doc_id go; a document of fewer lines than the run, and fewer words than ``words``
+    where that is given, stays whole.
     """
+    if run is None:
+        run, words = RUN, WORDS if words is None else words
 
     def finish(_, ids, n, removed, text) -> pa.RecordBatch:
         return pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed), text], names=["doc_id", "n_lines", "n_removed", "text"])
 
-    return _dedup(docs, run, gram, finish, RESULT, extra=False)
+    return _dedup(docs, run, gram, words, finish, RESULT, extra=False)
 
 
-def deduped(docs: DataFrame, run: int = 3, gram: int = 2) -> DataFrame:
+def deduped(docs: DataFrame, run: int = RUN, gram: int = 2, words: int | None = None) -> DataFrame:
     """The rows of docs, all columns, with later repeated runs deleted from text.
 
+    Runs are those of line_dedup; by words too only if ``words`` is given.
     n_chars, where there is such a column, follows the new text. Documents that lose all
     their lines go; rows with a null doc_id go, since they have no place.
     """
@@ -217,5 +254,5 @@ def deduped(docs: DataFrame, run: int = 3, gram: int = 2) -> DataFrame:
         more = B.unpack_extra(body)
         return pa.record_batch([text if k == "text" else more.column(k) for k in names], names=names).filter(kept)
 
-    out = _dedup(docs, run, gram, finish, docs.schema, extra=True)
+    out = _dedup(docs, run, gram, words, finish, docs.schema, extra=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

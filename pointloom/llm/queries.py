@@ -52,7 +52,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(table(spark, sf_dir, "documents"))
+    return lines.line_dedup(table(spark, sf_dir, "documents"), run=3)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

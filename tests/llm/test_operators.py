@@ -226,6 +226,35 @@ def test_lines(docs, corpus, run, gram):
     assert rows(lines.line_dedup(docs, run, gram), "doc_id", "n_lines", "n_removed", "text") == lines_brute(corpus, run)
 
 
+def lines_words_brute(corpus, run, words):
+    split = {d: (t or "").split("\n") if t else [] for d, t, *_ in corpus}
+    seen, out = set(), []
+    for d in sorted(split):
+        x, gone = split[d], set()
+        for i in range(len(x)):
+            for m in range(1, run + 1):
+                k = tuple(x[i : i + m])
+                if i + m <= len(x) and (m == run or sum(len(SPACE.findall(v)) for v in k) >= words):
+                    if k in seen:
+                        gone.update(range(i, i + m))
+                    seen.add(k)
+        out.append((d, len(x), len(gone), "\n".join(v for i, v in enumerate(x) if i not in gone)))
+    return out
+
+
+@pytest.mark.parametrize(("run", "gram", "words"), [(3, 2, 50), (3, 2, 8), (4, 1, 12), (2, 2, 1)])
+def test_lines_by_words(spark, docs, corpus, run, gram, words):
+    got = rows(lines.line_dedup(docs, run, gram, words), "doc_id", "n_lines", "n_removed", "text")
+    assert got == lines_words_brute(corpus, run, words)
+    if words == 50:
+        assert got == rows(lines.line_dedup(docs), "doc_id", "n_lines", "n_removed", "text") != lines_brute(corpus, run)
+    # A passage on one line, and on two lines, between other lines.
+    one, two = " ".join(f"a{k}" for k in range(60)), "\n".join(" ".join(f"{c}{k}" for k in range(30)) for c in "bc")
+    texts = [(1, f"x\n{one}\ny"), (2, f"{one}\nz"), (3, f"u\n{two}"), (4, f"{two}\nv"), (5, one), (6, f"{one}\n{one}\nw"), (7, f"o\n{one}\t")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert rows(lines.line_dedup(df, run, gram, words), "doc_id", "n_lines", "n_removed", "text") == lines_words_brute(texts, run, words)
+
+
 def test_lines_keep_columns(clashing, corpus):
     got = lines.deduped(clashing.withColumn("extra", F.array("doc_id")))
     assert got.columns == [*clashing.columns, "extra"]

@@ -25,6 +25,12 @@ def test_stages_follow_their_operators(spark):
     assert packing.pack(clean, P.tokenizer_path()).select("doc_id").distinct().count() == clean.count()
 
 
+def test_lines_go_by_words_too(spark):
+    passage = " ".join(f"a{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, f"x\n{passage}", "en", "s", 1), (2, f"{passage}\ny", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.text for r in P.dedup_lines(spark, docs, SF).orderBy("doc_id").collect()] == [f"x\n{passage}", "y"]
+
+
 def test_run(spark):
     assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
     assert P.run(spark, SF).count() > 0 and P.ORACLE_SQL is None
