@@ -4,7 +4,9 @@ A table rotates unit vectors by three rounds of random signs and a fast Hadamard
 and files each under the signed axis nearest to it. A query looks under several axes of
 each table, the nearest first; all that it meets there is ranked by exact cosines. A
 bucket is cut into pieces of bounded size, so that one with a third of all rows is shared
-out too; a piece returns the best few of each query, never pairs.
+out too; a piece returns the best few of each query, never pairs. Queries that meet fewer
+than k rows look again under more axes, in the end under all axes of one table, where every
+row is.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
+
 TABLES, PROBES = 16, 8
 PIECE_ROWS = 4096
 
@@ -94,9 +98,28 @@ def _best(dim: int, k: int):
     return run
 
 
+def _ranked(rows: DataFrame, queries: DataFrame, dim: int, k: int, signs: np.ndarray, probes: int, piece_rows: int) -> DataFrame:
+    """The best k of the rows that each query meets under so many axes of each table."""
+    schema = "vec_id long, t int, axis int, vec binary"
+    filed = rows.mapInArrow(_hashed(signs, dim, 1), schema)
+    asked = queries.mapInArrow(_hashed(signs, dim, probes), schema)
+    # Tables times axes rows, whatever the input's size.
+    sizes = F.broadcast(filed.groupBy("t", "axis").agg(F.ceil(F.count("*") / piece_rows).cast("long").alias("pieces")))
+    filed = filed.join(sizes, ["t", "axis"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).drop("pieces")
+    asked = asked.join(sizes, ["t", "axis"]).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
+    keys = ["t", "axis", "piece"]
+    found = asked.groupBy(keys).cogroup(filed.groupBy(keys)).applyInArrow(_best(dim, k), "query_id long, vec_id long, score double")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, probes: int = PROBES, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """The k rows of largest cosine found for each query, nearest first, ties to the smaller id.
 
+    A query has k rows, or all others if there are fewer: while it has not, its probes are
+    widened, and the last round looks at all rows.
+
     rows, queries: vec_id long, embedding array of numbers; other columns are not read.
     Vectors that are null, empty or zero, that hold null or non-finite components, or whose
     length is not the most common one (of several, the longest), take no part, nor do rows
@@ -115,15 +138,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLE
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     dim = common["dim"]
     signs = rotations(dim, tables)
-    schema = "vec_id long, t int, axis int, vec binary"
-    filed = rows.where(F.size("vec") == dim).mapInArrow(_hashed(signs, dim, 1), schema)
-    asked = queries.where(F.size("vec") == dim).mapInArrow(_hashed(signs, dim, min(probes, 2 * signs.shape[2])), schema)
-    # Tables times axes rows, whatever the input's size.
-    sizes = F.broadcast(filed.groupBy("t", "axis").agg(F.ceil(F.count("*") / piece_rows).cast("long").alias("pieces")))
-    filed = filed.join(sizes, ["t", "axis"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).drop("pieces")
-    asked = asked.join(sizes, ["t", "axis"]).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
-    keys = ["t", "axis", "piece"]
-    found = asked.groupBy(keys).cogroup(filed.groupBy(keys)).applyInArrow(_best(dim, k), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows, queries = rows.where(F.size("vec") == dim), queries.where(F.size("vec") == dim)
+    every = 2 * signs.shape[2]
+    probes = min(probes, every)
+    found = written(_ranked(rows, queries, dim, k, signs, probes, piece_rows))
+    while probes < every:
+        full = found.where(F.col("rank") == k).select("query_id")
+        short = written(queries.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"))
+        if short.isEmpty():
+            break
+        probes = min(4 * probes, every)
+        # Under all axes of a single table are all rows.
+        again = _ranked(rows, short, dim, k, signs if probes < every else signs[:1], probes, piece_rows)
+        found = written(found.join(full, "query_id", "left_semi").unionByName(again))
+    return found

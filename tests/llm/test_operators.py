@@ -188,6 +188,36 @@ def test_nearest(spark):
     assert nearest(df.limit(0), df).count() == 0
 
 
+def vectors(spark, x):
+    return spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 6])
+def test_nearest_finds_all_of_few(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    df, unit = vectors(spark, x), x / np.linalg.norm(x, axis=1)[:, None]
+    got = [(r.query_id, r["rank"], r.vec_id) for r in nearest(df, df).orderBy("query_id", "rank").collect()]
+    want = [(q, i + 1, int(v)) for q in range(n) for i, v in enumerate([v for v in np.argsort(-(unit @ unit[q])) if v != q][:5])]
+    if n < 6:
+        assert got == want
+    else:
+        assert len(got) == len(want) and {(q, v) for q, _, v in got} <= {(q, v) for q in range(n) for v in range(n) if q != v}
+
+
+def test_nearest_of_a_cluster_opposite(spark):
+    """Queries that meet no row at first have k rows in the end."""
+    rng = np.random.default_rng(2)
+    c = rng.normal(size=64)
+    c /= np.linalg.norm(c)
+    x, q = c + rng.normal(scale=0.02, size=(1500, 64)), -c + rng.normal(scale=0.02, size=(10, 64))
+    asked = vectors(spark, q).selectExpr("vec_id + 5000 as vec_id", "embedding")
+    got = defaultdict(list)
+    for r in nearest(vectors(spark, x), asked, piece_rows=200).orderBy("query_id", "rank").collect():
+        got[r.query_id - 5000].append(r.score)
+    cos = np.sort((q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T, axis=1)[:, ::-1]
+    assert sorted(got) == list(range(10)) and all(len(v) == 5 and (np.array(v) <= cos[k, :5] + 1e-12).all() for k, v in got.items())
+
+
 # Chat
 
 
