@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
@@ -64,9 +64,14 @@ def rows(found: list[tuple[int, str, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(chunk, pa.int64()), pa.array(kind, pa.string()), pa.array(bucket, pa.int64()), pa.array(body, pa.binary())], schema=_ARROW)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Buckets of an exchange: twice the shuffle partitions, which follow the input's size."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of packed chunks that a bucket of an exchange answers for, about.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets(parts: DataFrame) -> int:
+    """Buckets of an exchange of the chunks: one for each BUCKET_BYTES of them, and two for each shuffle partition at least."""
+    size = int(str(parts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the written files
+    return max(2 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
 def _pack_chunks(limit: int, extra: bool):
@@ -176,6 +181,11 @@ def by_chunk(frames: list[DataFrame], fn: Callable, schema: str = BLOCK) -> Data
     return df.groupBy("chunk").applyInArrow(run, schema)
 
 
+def slim(a: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on, in as few bytes each as they fit in."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
 def split(keys: np.ndarray, n: int) -> np.ndarray:
     """Bounds of the n buckets in sorted keys.
 

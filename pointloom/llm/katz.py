@@ -1,22 +1,27 @@
 """Language-model scores by Katz backoff.
 
-A bigram model: P(w | h) is the discounted share d(c) c(h, w) / c(h) where the pair was seen
-in training, else a(h) P(w), where the backoff weight a(h) makes the probabilities of all
-words and of the unknown word sum to 1; P(w) is discounted in the same way and leaves its
-rest to the unknown word. Discounts are Good and Turing's for small counts. Where they
-leave less than half a count, half a count is left.
-
-Words are counted over the whole training part. Chunks of documents send their distinct
-words, then their distinct pairs, to the buckets that own them (blocks.py). The buckets
-write the count tables, partitioned by the chunks that need them: for each word and pair
-its count, for each history its count, its number of continuations by small counts, and
-the lower-order mass of its continuations. Scoring reads a chunk with its part of the
-tables and goes down the recursion for each token.
+P(w | h) is the discounted share d(c) c(h, w) / c(h) where the n-gram was seen in training,
+else a(h) P(w | h'), where h' is h without its first word and the backoff weight a(h) makes
+the probabilities of all words and of the unknown word sum to 1. P(w) is discounted in the
+same way and leaves its rest to the unknown word. Discounts are Good and Turing's for small
+counts, by order. Where they leave less than half a count, half a count is left.
+
+Everything is counted over the whole training part. First the chunks of documents send the
+bytes of their distinct words to buckets (blocks.py), which give each different word a
+number of its own, so that n-grams are exact tuples of numbers. Then, order by order, the
+chunks send their distinct n-grams to the buckets of their histories. The buckets write the
+tables, partitioned by the chunks that need them: for each n-gram its count, for each
+history its count and the numbers of its continuations by small counts of their own and of
+the order below; these whole numbers give the weights in double precision. An n-gram is
+sent only where its history and its lower order occur in training. A history with very many
+occurrences is shared out over several buckets, whose numbers are added up. Scoring reads a
+chunk with its parts of the tables and goes down the recursion for each token.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +31,13 @@ from ..plans.lineage import release, written
 from . import blocks as B
 from . import text as T
 from .text import U64
+from .tokens import gather
 
-FOLDS, HELD_OUT = 5, 1
+FOLDS, HELD_OUT, ORDER = 5, 1, 3
 #: Counts up to SMALL are discounted.
 SMALL = 5
-START, END = U64(0x5EED5EED00000001), U64(0x5EED5EED00000002)
-#: Within a history, words go by the upper bits of their hashes: 40 bits.
-_SHORT = U64(24)
+#: Occurrences of a history for each bucket that it is shared out to.
+SHARE = 1 << 20
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -76,190 +81,325 @@ def _small(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2]
 
 
-def _tokens(body: bytes):
-    """Documents' ids, whether held out, and their tokens: words and an end each."""
-    ids, data, offs = B.unpack_chunk(body)
-    words, at = T.all_words(data, offs)
-    out = np.insert(words, at[1:], END)
-    held = np.array([zlib.crc32(str(k).encode()) % FOLDS == HELD_OUT for k in ids.tolist()], dtype=bool)
-    return ids, held, out, at + np.arange(len(at))
-
-
-def _vocabulary(body: bytes):
-    ids, held, tokens, at = _tokens(body)
-    key, word = np.unique(tokens, return_inverse=True)
-    train = ~np.repeat(held, np.diff(at))
-    return ids, held, at, key, word, train
+def _summed(counts: np.ndarray) -> np.ndarray:
+    """Tokens, types, and types by count up to SMALL + 1."""
+    return np.concatenate([[counts.sum(), (counts > 0).sum()], _small(counts)])
+
+
+def _distinct(first: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different name first stands, in order of names, and the place of each among them."""
+    _, at, place = np.unique(first, return_index=True, return_inverse=True)
+    if (other[at][place] == other).all():
+        return at, place
+    order = np.lexsort((other, first))  # one first name stands for two words
+    new = np.append(True, (first[order][1:] != first[order][:-1]) | (other[order][1:] != other[order][:-1]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
+class _Chunk:
+    """A chunk's documents, whether held out, and tokens: words with A-Z lower-cased and an end each."""
+
+    def __init__(self, body: bytes):
+        self.ids, data, offs = B.unpack_chunk(body)
+        data = T.LOWER[data]
+        starts, ends, first, other, counts = ([np.zeros(0, k)] for k in (np.int64, np.int64, U64, U64, np.int64))
+        for a, z in T.slices(offs):
+            w = T.words(*T.of_range(data, offs, a, z))
+            for to, x in ((starts, w.starts + offs[a]), (ends, w.ends + offs[a]), (first, w.hashes), (other, w.others), (counts, w.counts())):
+                to.append(x)
+        starts, ends, first, other, counts = (np.concatenate(x) for x in (starts, ends, first, other, counts))
+        at = np.concatenate([[0], np.cumsum(counts)])
+        which, place = _distinct(first, other) if len(first) else (first.astype(np.int64), first.astype(np.int64))
+        self.first, self.size = first[which], (ends - starts)[which]
+        self.bytes = gather(data, starts[which], self.size)
+        # The end is the chunk's last word.
+        self.words = len(which) + 1
+        self.tokens = np.insert(place, at[1:], len(which))
+        self.at = at + np.arange(len(at))
+        held = np.array([zlib.crc32(str(k).encode()) % FOLDS == HELD_OUT for k in self.ids.tolist()], dtype=bool)
+        self.held, self.train = held, ~np.repeat(held, np.diff(self.at))
 
 
 def _ask_words(n_buckets: int):
     def run(chunk: int, body: bytes) -> pa.RecordBatch:
-        _, _, _, key, word, train = _vocabulary(body)
-        count = np.bincount(word[train], minlength=len(key)).astype(np.int64)
-        cut = B.split(key, n_buckets)
-        return B.rows([(chunk, "words", b, B.dump(sorted_keys=key[i:j], count=count[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i])
+        c = _Chunk(body)
+        count = np.bincount(c.tokens[c.train], minlength=c.words).astype(np.int64)
+        cut = B.split(c.first, n_buckets)
+        to = np.concatenate([[0], np.cumsum(c.size)])
+        blocks = [(chunk, "words", b, B.dump(text=c.bytes[to[i] : to[j]], size=B.slim(c.size[i:j]), count=B.slim(count[i:j]))) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
+        return B.rows([*blocks, (chunk, "ends", chunk % n_buckets, B.dump(ends=count[-1:]))])
 
     return run
 
 
-def _answer_words(table: pa.Table) -> pa.RecordBatch:
-    asked = [B.load(x) for x in table["body"].to_pylist()]
-    key, place = np.unique(np.concatenate([x["sorted_keys"] for x in asked]), return_inverse=True)
-    total = np.zeros(len(key), np.int64)
-    np.add.at(total, place, np.concatenate([x["count"] for x in asked]))
-    out = [(c, "counts", b, B.dump(count=total[np.searchsorted(key, x["sorted_keys"])])) for c, b, x in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), asked, strict=True)]
-    stats = np.concatenate([[total.sum(), (total > 0).sum()], _small(total)])
-    return B.rows([*out, (-1, "stats", table["bucket"][0].as_py(), B.dump(stats=stats))])
+def _answer_words(n_buckets: int):
+    """Numbers, frequent words first, and counts. 0 is the start, 1 the end; bucket b has b + 2 and every n_buckets-th from there."""
+
+    def run(table: pa.Table) -> pa.RecordBatch:
+        bucket = table["bucket"][0].as_py()
+        loaded = [(c, kind, B.load(x)) for c, kind, x in zip(*(table[k].to_pylist() for k in ("chunk", "kind", "body")), strict=True)]
+        ends = sum(int(x["ends"][0]) for _, kind, x in loaded if kind == "ends")
+        asked = [(c, x) for c, kind, x in loaded if kind == "words"]
+        out, total = [], np.zeros(0, np.int64)
+        if asked:
+            size = np.concatenate([x["size"].astype(np.int64) for _, x in asked])
+            to = np.cumsum(size)
+            at, place = _distinct(*T.names(np.concatenate([x["text"] for _, x in asked]), to - size, to))
+            total = np.zeros(len(at), np.int64)
+            np.add.at(total, place, np.concatenate([x["count"] for _, x in asked]))
+            number = np.empty(len(at), np.int64)
+            number[np.argsort(-total, kind="stable")] = np.arange(len(at)) * n_buckets + bucket + 2
+            begin = 0
+            for c, x in asked:
+                own = place[begin : begin + len(x["size"])]
+                out.append((c, "counts", bucket, B.dump(number=B.slim(number[own]), count=B.slim(total[own]))))
+                begin += len(own)
+        return B.rows([*out, (-1, "stats", bucket, B.dump(stats=np.append(_summed(total), ends)))])
+
+    return run
 
 
 def _stats(table: DataFrame) -> np.ndarray:
     """Sums of the buckets' few numbers."""
     found = [B.load(r["body"])["stats"] for r in table.where("kind = 'stats'").select("body").toLocalIterator()]
-    return np.sum(found, axis=0) if found else np.zeros(SMALL + 4, np.int64)
+    return np.sum(found, axis=0) if found else np.zeros(SMALL + 5, np.int64)
 
 
-class _Pairs:
-    """Distinct pairs of a chunk that the model may know, in order of history and word."""
+def _told(found: dict, kind: str, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[B.load(x)[name].astype(np.int64) for _, x in sorted(found.get(kind, {}).items())]])
 
-    def __init__(self, at, key, word, train, counts):
-        self.size = len(key) + 1  # local word 0 is the start
-        last = np.zeros(len(word), dtype=bool)
-        last[at[:-1][np.diff(at) > 0]] = True
-        self.history = np.where(last, 0, np.append(0, word[:-1] + 1))
-        known = np.append(True, counts > 0)  # a start is known wherever there are training texts
-        self.live = known[self.history] & (counts[word] > 0)
-        self.pair, self.place = np.unique(self.history[self.live] * self.size + word[self.live], return_inverse=True)
-        self.count = np.bincount(self.place[train[self.live]], minlength=len(self.pair)).astype(np.int64)
-        # Histories in order of their hashes, so that buckets are ranges.
-        names = np.append(START, key)
-        order = np.argsort(names)
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
-        self.of, self.word = self.pair // self.size, self.pair % self.size
-        self.order = np.argsort(rank[self.of], kind="stable")
-        self.names = names[self.of[self.order]]
 
+@dataclass
+class _Level:
+    """A chunk's n-grams of one order, as the tables tell of them.
 
-def _counts(found: dict) -> np.ndarray:
-    told = [B.load(x)["count"] for _, x in sorted(found.get("counts", {}).items())]
-    return np.concatenate(told) if told else np.zeros(0, np.int64)
-
+    gram: each token's n-gram, history: each token's history, both as local numbers; count:
+    the n-grams' counts (0 for the last, which stands for all that training cannot have);
+    size: the histories' counts; own, low: their continuations by small counts of their own
+    and of the order below, at 0 the sum of the larger counts.
+    """
 
-def _ask_pairs(n_buckets: int):
+    gram: np.ndarray
+    history: np.ndarray
+    count: np.ndarray
+    size: np.ndarray | None = None
+    own: list | None = None
+    low: list | None = None
+
+
+def _different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values in order, a place where each stands, and the place of each among them."""
+    key, place = np.unique(x, return_inverse=True)
+    at = np.empty(len(key), np.int64)
+    at[place] = np.arange(len(x))
+    return key, at, place
+
+
+class _Grams:
+    """What a chunk asks about its n-grams of order k: histories by bucket, and their n-grams."""
+
+    def __init__(self, c: _Chunk, k: int, number: np.ndarray, below: _Level, ends: int, n_buckets: int, share: int):
+        """below: of order k - 1, whose n-grams are the histories here and what these n-grams back off to."""
+        n = len(c.tokens)
+        place = np.arange(n) - np.repeat(c.at[:-1], np.diff(c.at))
+        words = [np.where(place >= j, c.tokens[np.maximum(np.arange(n) - j, 0)], c.words) for j in range(k - 1, 0, -1)]
+        key, at, self.history = _different(_packed(words, c.words + 1))
+        ids = np.append(number, 0)
+        self.columns = [ids[x[at]] for x in words]
+        # A history is the n-gram that ends at the token before; the one of starts alone is as frequent as the ends.
+        counts = np.where(place[at] > 0, below.count[below.gram[at - 1]], ends)
+        self.size, asked = len(key), counts > 0
+        order = np.argsort(number)
+        rank = np.empty(c.words, np.int64)
+        rank[order] = np.arange(c.words)
+        self.live = asked[self.history] & (below.count[below.gram] > 0)
+        pair, at, place = _different(self.history[self.live] * c.words + rank[c.tokens[self.live]])
+        self.gram = np.full(n, len(pair))
+        self.gram[self.live] = place
+        self.of, self.word = pair // c.words, number[order[pair % c.words]]
+        self.count = np.bincount(place[c.train[self.live]], minlength=len(pair)).astype(np.int64)
+        self.low = below.count[below.gram[self.live][at]]
+        self._deal(np.where(asked, -(-counts // share), 0), n_buckets)
+
+    def _deal(self, shares: np.ndarray, n_buckets: int) -> None:
+        """Histories, or their shares, in order of buckets, and the n-grams in order of those.
+
+        A chunk asks for all shares of a history, also those that none of its n-grams is in.
+        """
+        base = np.cumsum(shares) - shares
+        self.unit_of = np.repeat(np.arange(len(shares)), shares)
+        self.part = np.arange(len(self.unit_of)) - base[self.unit_of]
+        h = T.mix(self.part, 81)
+        for x in self.columns:
+            h = T.mix(h ^ x[self.unit_of].astype(U64), 82)
+        bucket = (h % U64(n_buckets)).astype(np.int64)
+        order = np.lexsort((self.part, *[x[self.unit_of] for x in reversed(self.columns)], bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.unit_of, self.part, bucket = self.unit_of[order], self.part[order], bucket[order]
+        self.cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        part = (T.mix(self.word, 83) % np.maximum(shares[self.of], 1).astype(U64)).astype(np.int64)
+        unit = place[base[self.of] + part] if len(self.of) else self.of
+        self.order = np.argsort(unit, kind="stable")
+        self.to = np.searchsorted(unit[self.order], np.arange(len(self.unit_of) + 1))
+
+    def blocks(self, chunk: int) -> pa.RecordBatch:
+        out = []
+        many = np.diff(self.to)
+        for b, (i, j) in enumerate(zip(self.cut, self.cut[1:], strict=False)):
+            if j > i:
+                own = self.order[self.to[i] : self.to[j]]
+                units = {f"{'sorted_' if n == 0 else ''}h{n}": x[self.unit_of[i:j]] if n == 0 else B.slim(x[self.unit_of[i:j]]) for n, x in enumerate(self.columns)}
+                out.append((chunk, "grams", b, B.dump(**units, part=B.slim(self.part[i:j]), many=B.slim(many[i:j]), word=B.slim(self.word[own]), count=B.slim(self.count[own]), low=B.slim(self.low[own]))))
+        return B.rows(out)
+
+    def answered(self, found: dict, kind: str) -> _Level:
+        told = [B.load(x) for _, x in sorted(found.get(kind, {}).items())]
+        take = lambda name: np.concatenate([np.zeros(0, np.int64), *[x[name].astype(np.int64) for x in told]])
+        count = np.zeros(len(self.of) + 1, np.int64)
+        count[self.order] = take("count")
+        added = lambda name: np.bincount(self.unit_of, take(name), self.size)
+        return _Level(self.gram, self.history, count, added("size"), [added(f"t{r}") for r in range(SMALL + 1)], [added(f"l{r}") for r in range(SMALL + 1)])
+
+
+def _packed(columns: list[np.ndarray], size: int) -> np.ndarray:
+    """One local number for each different tuple; equal tuples get the same."""
+    out = columns[0].astype(np.int64)
+    for x in columns[1:]:
+        out = np.unique(out, return_inverse=True)[1] * size + x
+    return out
+
+
+def _grams(c: _Chunk, found: dict, order: int, ends: int, n_buckets: int, share: int) -> tuple[list[_Level], _Grams]:
+    """The levels whose tables are there, and what to ask of the order."""
+    number = np.append(_told(found, "counts", "number"), 1)
+    count = np.append(_told(found, "counts", "count"), ends)
+    levels = [_Level(c.tokens, c.tokens, count)]
+    for k in range(2, order + 1):
+        asked = _Grams(c, k, number, levels[-1], ends, n_buckets, share)
+        if k < order or f"model{k}" in found:
+            levels.append(asked.answered(found, f"model{k}"))
+    return levels, asked
+
+
+def _ask_grams(order: int, ends: int, n_buckets: int, share: int):
     def run(chunk: int, found: dict) -> pa.RecordBatch:
-        _, _, at, key, word, train = _vocabulary(found["text"][-1])
-        counts = _counts(found)
-        p = _Pairs(at, key, word, train, counts)
-        word_of = p.word[p.order]
-        count = p.count[p.order]
-        low = np.where(count > 0, counts[word_of], 0)  # a pair that was trained on comes with it from some chunk
-        # Words of a history are in order of their hashes: differences are shorter.
-        short = key[word_of] >> _SHORT
-        first = np.append(True, p.names[1:] != p.names[:-1]) if len(short) else np.zeros(0, bool)
-        short = np.where(first, short, np.diff(short, prepend=U64(0)))
-        cut = B.split(p.names, n_buckets)
-        return B.rows([(chunk, "pairs", b, B.dump(sorted_history=p.names[i:j], word=short[i:j], count=count[i:j], low=low[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i])
+        return _grams(_Chunk(found["text"][-1]), found, order, ends, n_buckets, share)[1].blocks(chunk)
 
     return run
 
 
-def _absolute(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """A block with words instead of differences within each history."""
-    h, w = x["sorted_history"], x["word"]
-    first = np.append(True, h[1:] != h[:-1])
-    total = np.cumsum(w, dtype=U64)
-    base = (total - w)[first]
-    return x | {"word": total - base[np.cumsum(first) - 1]}
+def _answer_grams(order: int):
+    kind = f"model{order}"
 
-
-def _answer_pairs(lower: Unigrams):
     def run(table: pa.Table) -> pa.RecordBatch:
-        asked = [_absolute(B.load(x)) for x in table["body"].to_pylist()]
-        history, word, count, low = (np.concatenate([x[k] for x in asked]) for k in ("sorted_history", "word", "count", "low"))
-        order = np.lexsort((word, history))
-        h, w = history[order], word[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
+        asked = [B.load(x) for x in table["body"].to_pylist()]
+        columns = [f"{'sorted_' if n == 0 else ''}h{n}" for n in range(order - 1)] + ["part"]
+        units = [np.concatenate([x[k].astype(np.int64) for x in asked]) for k in columns]
+        many, word, count, low = (np.concatenate([x[k].astype(np.int64) for x in asked]) for k in ("many", "word", "count", "low"))
+        by = np.lexsort(units[::-1])
+        new = np.append(True, np.any([x[by][1:] != x[by][:-1] for x in units], axis=0))
+        unit = np.empty(len(by), np.int64)
+        unit[by] = np.cumsum(new) - 1
+        n = int(new.sum())
+        of = np.repeat(unit, many)
+        by = np.lexsort((word, of))
+        new = np.append(True, (of[by][1:] != of[by][:-1]) | (word[by][1:] != word[by][:-1])) if len(by) else np.zeros(0, bool)
         at = np.flatnonzero(new)
-        total = np.add.reduceat(count[order], at)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        # Histories: count, continuations by small counts, lower-order mass of continuations.
-        h, mass = h[at], np.where(total > 0, lower(np.maximum.reduceat(low[order], at)), 0.0)
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        names = h[first]
-        size = np.add.reduceat(total, first)
-        by_count = [np.add.reduceat((total == r).astype(np.int64), first) for r in range(1, SMALL + 1)]
-        mass = np.add.reduceat(mass, first).astype(np.float32)
-        out, begin = [], 0
+        place = np.empty(len(by), np.int64)
+        place[by] = np.cumsum(new) - 1
+        total = np.add.reduceat(count[by], at) if len(at) else count
+        of, low = of[by][at], low[by][at]
+        # A history's occurrences, and its continuations by small counts: their own, and of the order below.
+        seen = total > 0
+        told = {"size": np.bincount(of, total, n).astype(np.int64)}
+        for name, x in (("t", total), ("l", low)):
+            told[f"{name}0"] = np.bincount(of[seen & (x > SMALL)], x[seen & (x > SMALL)], n).astype(np.int64)
+            for r in range(1, SMALL + 1):
+                told[f"{name}{r}"] = np.bincount(of[seen & (x == r)], minlength=n)
+        out, begin, head = [], 0, 0
         for c, b, x in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), asked, strict=True):
-            n = len(x["word"])
-            own = np.searchsorted(names, np.unique(x["sorted_history"]))
-            out.append((c, "model", b, B.dump(count=total[place[begin : begin + n]], size=size[own], mass=mass[own], **{f"t{r + 1}": by_count[r][own] for r in range(SMALL)})))
-            begin += n
-        stats = np.concatenate([[total.sum(), (total > 0).sum()], _small(total)])
-        return B.rows([*out, (-1, "stats", table["bucket"][0].as_py(), B.dump(stats=stats))])
+            own = unit[head : head + len(x["many"])]
+            out.append((c, kind, b, B.dump(count=B.slim(total[place[begin : begin + len(x["word"])]]), **{k: B.slim(v[own]) for k, v in told.items()})))
+            head, begin = head + len(own), begin + len(x["word"])
+        return B.rows([*out, (-1, "stats", table["bucket"][0].as_py(), B.dump(stats=np.append(_summed(total), 0)))])
 
     return run
 
 
-def _score(lower: Unigrams, d: np.ndarray):
+def probabilities(levels: list[_Level], lower: Unigrams, d: list[np.ndarray]) -> np.ndarray:
+    """Each token's probability, from order 1 upwards: what is not known at an order backs off."""
+    c = levels[0].count[levels[0].gram]
+    prob = lower(c)
+    below, scale_below, own = lower.d, None, None
+    for k, level in enumerate(levels[1:]):
+        r = np.arange(1, SMALL + 1)
+        rest = sum((1 - d[k][x]) * x * level.own[x] for x in r)
+        mass = level.low[0] + sum(below[x] * x * level.low[x] for x in r)
+        if scale_below is None:
+            mass = mass * lower.scale
+        else:
+            # The history without its first word, at any token that has the history.
+            shorter = np.zeros(len(level.size), np.int64)
+            shorter[level.history] = own
+            mass = mass * scale_below[shorter]
+        seen = level.size > 0
+        weight, scale = np.ones(len(seen)), np.zeros(len(seen))
+        size, left = level.size[seen], np.maximum(rest[seen], 0.5)
+        weight[seen] = left / size / (1 - mass[seen])
+        scale[seen] = (size - left) / (size - rest[seen]) / size
+        count = level.count[level.gram]
+        prob = np.where(count > 0, discounted(count, d[k]) * scale[level.history], weight[level.history] * prob)
+        below, scale_below, own = d[k], scale, level.history
+    return prob
+
+
+def _score(lower: Unigrams, d: list[np.ndarray], ends: int, n_buckets: int, share: int):
     base = np.log10(lower.n + 0.5 * (lower.types + 1))
 
     def run(chunk: int, found: dict) -> pa.RecordBatch:
-        ids, held, at, key, word, train = _vocabulary(found["text"][-1])
-        counts = _counts(found)
-        p = _Pairs(at, key, word, train, counts)
-        told = [B.load(x) for _, x in sorted(found.get("model", {}).items())]
-        take = lambda k, kind=np.int64: np.concatenate([np.zeros(0, kind), *[x[k] for x in told]])
-        count = np.zeros(len(p.pair), np.int64)
-        count[p.order] = take("count")
-        # A history's numbers, by local word.
-        mine = p.of[p.order]
-        heads = mine[np.append(True, p.names[1:] != p.names[:-1])] if len(mine) else mine
-        size, mass, rest = np.zeros(p.size, np.int64), np.zeros(p.size), np.zeros(p.size)
-        size[heads], mass[heads] = take("size"), take("mass", np.float32)
-        for r in range(1, SMALL + 1):
-            rest[heads] += (1 - d[r]) * r * take(f"t{r}")
-        # A history whose continuations are all frequent still leaves half a count to the others.
-        weight, scale = np.ones(p.size), np.zeros(p.size)
-        seen = size > 0
-        left = np.maximum(rest[seen], 0.5)
-        weight[seen] = left / size[seen] / (1 - mass[seen])
-        scale[seen] = (size[seen] - left) / (size[seen] - rest[seen]) / size[seen]
-        c = counts[word]
-        prob = lower(c) * weight[p.history]
-        pair = (discounted(count, d) * scale[p.of])[p.place]
-        prob[p.live] = np.where(count[p.place] > 0, pair, prob[p.live])
-        logs = np.log10(prob)
-        n = np.diff(at)
-        doc = np.repeat(np.arange(len(ids)), n)
-        total = lambda x: np.bincount(doc, x, len(ids))
+        c = _Chunk(found["text"][-1])
+        levels, _ = _grams(c, found, len(d) + 1, ends, n_buckets, share)
+        count = levels[0].count[c.tokens]
+        n = np.diff(c.at)
+        doc = np.repeat(np.arange(len(c.ids)), n)
+        total = lambda x: np.bincount(doc, x, len(c.ids))
         return pa.record_batch([
-            pa.array(ids, pa.int64()), pa.array(held), pa.array(n.astype(np.int64)), pa.array(total(c > 0).astype(np.int64)), pa.array(np.full(len(ids), lower.n, np.int64)),
-            pa.array(total(np.log10(c + 0.5) - base)), pa.array(total(logs)),
+            pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(n.astype(np.int64)), pa.array(total(count > 0).astype(np.int64)), pa.array(np.full(len(c.ids), lower.n, np.int64)),
+            pa.array(total(np.log10(count + 0.5) - base)), pa.array(total(np.log10(probabilities(levels, lower, d)))),
         ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def katz_scores(docs: DataFrame) -> DataFrame:
+def katz_scores(docs: DataFrame, order: int = ORDER, share: int = SHARE) -> DataFrame:
     """Score all texts with a model of those whose crc32(doc_id as text) mod 5 is not 1.
 
-    docs: doc_id long, text string; other columns are not read. Tokens are the words
-    ``[^\\x20\\x09-\\x0D]+`` and one end for each text, so null and empty texts have one token.
-    Returns doc_id, held_out, n_tokens, n_known (tokens that training has), train_tokens,
-    base_score (unigrams with half a count added, log10) and score (the model's log10
-    probability). Rows with a null doc_id go; repeated rows count each. Without training
-    texts every token is the unknown word.
+    docs: doc_id long, text string; other columns are not read. order: words of the longest
+    n-grams, 2 or more. Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and one
+    end for each text, so null and empty texts have one token; histories before the first
+    words are filled up with starts. Returns doc_id, held_out, n_tokens, n_known (tokens that
+    training has), train_tokens, base_score (unigrams with half a count added, log10) and
+    score (the model's log10 probability). Rows with a null doc_id go; repeated rows count
+    each. Without training texts every token is the unknown word. share: occurrences of a
+    history for each bucket that it is dealt out to; results do not depend on it.
     """
+    if order < 2:
+        raise ValueError("order must be at least 2")
     spark = docs.sparkSession
-    n = B.buckets(spark)
     parts = B.chunks(docs)
-    words = written(B.by_bucket(B.by_row(parts, _ask_words(n)), _answer_words))
-    lower = Unigrams(_stats(words))
-    counts = words.where("kind = 'counts'")
-    release(spark)
-    pairs = written(B.by_bucket(B.by_chunk([parts, counts], _ask_pairs(n)), _answer_pairs(lower)))
-    d = discounts(_stats(pairs)[2:])
+    n = B.buckets(parts)
+    words = written(B.by_bucket(B.by_row(parts, _ask_words(n)), _answer_words(n)))
+    *stats, ends = _stats(words).tolist()
+    lower = Unigrams(np.array(stats) + _summed(np.array([ends])))
+    tables = [parts, words.where("kind = 'counts'")]
+    d: list[np.ndarray] = []
     release(spark)
-    return B.by_chunk([parts, counts, pairs.where("kind = 'model'")], _score(lower, d), RESULT)
+    for k in range(2, order + 1):
+        found = written(B.by_bucket(B.by_chunk(tables, _ask_grams(k, ends, n, share)), _answer_grams(k)))
+        d.append(discounts(_stats(found)[2:-1]))
+        tables.append(found.where(f"kind = 'model{k}'"))
+        release(spark)
+    return B.by_chunk(tables, _score(lower, d, ends, n, share), RESULT)

@@ -8,6 +8,7 @@ because the separators of all word definitions used here are ASCII.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,12 @@ except OSError:  # another C library has no such call
     _libc = None
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_PRIME, _LOW31, _LOW30 = U64((1 << 61) - 1), U64((1 << 31) - 1), U64((1 << 30) - 1)
+_BASES = (0x0E3779B97F4A7C15, 0x14D049BB133111EB)
+_known_powers: dict[int, np.ndarray] = {}
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+#: Longest string, in bytes, whose names are made by steps of eight bytes.
+LONG = 256
 
 
 def _class(separators: bytes) -> np.ndarray:
@@ -50,22 +54,80 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    have = _powers.get(base)
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of the bytes data[start:end]: together they stand for the content.
+
+    Eight bytes a step go through a chain of bijections, one chain for each name, so strings
+    of eight bytes or less cannot collide with others of their length, and longer ones do so
+    by chance alone (in both names at once: 2^-128). Strings longer than LONG go through BLAKE2.
+    """
+    n = ends - starts
+    out = mix(n, 11), mix(n, 12)
+    if not len(n):
+        return out
+    lane = _lanes(data)
+    live = np.flatnonzero((n > 0) & (n <= LONG))
+    at, left = starts[live], n[live]
+    while len(live):
+        part = lane[at] & _MASKS[np.minimum(left, 8)]
+        for k, h in enumerate(out):
+            h[live] = mix(h[live] ^ part, 13 + k)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(n > LONG).tolist():
+        both = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=16).digest()
+        out[0][k], out[1][k] = np.frombuffer(both, U64)
+    return out
+
+
+def chained(values: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """A hash of the ``size`` values that begin at each place, by a chain of bijections."""
+    h = np.full(len(at), seed, dtype=U64)
+    for k in range(size):
+        h = mix(h ^ values[at + k], seed + k)
+    return h
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, of numbers below it."""
+    a1, a0, b1, b0 = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    mid = a1 * b0 + a0 * b1
+    total = U64(2) * a1 * b1 + (mid >> U64(30)) + ((mid & _LOW30) << U64(31)) + a0 * b0
+    total = (total & _PRIME) + (total >> U64(61))
+    return np.where(total >= _PRIME, total - _PRIME, total)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    have = _known_powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * len(have) if have is not None else 0)
-        step = np.full(size, base, dtype=U64)
-        step[0] = 1
-        _powers[base] = have = np.cumprod(step, dtype=U64)
+        have = np.ones(1, dtype=U64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, _times(have, U64(pow(base, len(have), int(_PRIME))))])
+        _known_powers[base] = have
     return have[:n]
 
 
-def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair, whatever its place."""
+def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0) -> np.ndarray:
+    """A hash of values[start:end] for each pair, whatever its place: a polynomial modulo the prime 2^61 - 1."""
     n = len(values)
-    sums = np.zeros(n + 1, dtype=U64)
-    np.cumsum(values * powers(n, _BASE), out=sums[1:])
-    return (sums[ends] - sums[starts]) * powers(n + 1, _INV)[starts]
+    part = _times(mix(values, 31 + k) >> U64(3), _powers(n, _BASES[k])) if n else np.zeros(0, U64)
+    high, low = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
+    np.cumsum(part >> U64(32), out=high[1:])
+    np.cumsum(part & U64(0xFFFFFFFF), out=low[1:])
+    high, low = high[ends] - high[starts], low[ends] - low[starts]
+    # high * 2^32 modulo the prime: 2^61 is 1.
+    total = (high >> U64(29)) + ((high & U64((1 << 29) - 1)) << U64(32))
+    total = (total & _PRIME) + (total >> U64(61)) + (low & _PRIME)
+    total = (total & _PRIME) + (total >> U64(61))
+    total = np.where(total >= _PRIME, total - _PRIME, total)
+    moved = _times(total, _powers(n + 1, pow(_BASES[k], -1, int(_PRIME)))[starts])
+    return mix(moved ^ (mix(ends - starts, 33 + k)), 35 + k)
 
 
 def trim() -> None:
@@ -76,12 +138,12 @@ def trim() -> None:
 
 
 class Words:
-    """Words of a batch: byte spans, 64-bit hashes and each document's range of words."""
+    """Words of a batch: byte spans, two 64-bit names and each document's range of words."""
 
-    __slots__ = ("data", "starts", "ends", "offsets", "hashes")
+    __slots__ = ("data", "starts", "ends", "offsets", "hashes", "others")
 
-    def __init__(self, data, starts, ends, offsets, hashes):
-        self.data, self.starts, self.ends, self.offsets, self.hashes = data, starts, ends, offsets, hashes
+    def __init__(self, data, starts, ends, offsets, hashes, others):
+        self.data, self.starts, self.ends, self.offsets, self.hashes, self.others = data, starts, ends, offsets, hashes, others
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -127,8 +189,7 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = SPACED, lower:
     if lower:
         data = LOWER[data]
     starts, ends, at = spans(data, offs, kind)
-    h = segment_hash(data.astype(U64) + U64(1), starts, ends) if len(starts) else np.zeros(0, U64)
-    return Words(data, starts, ends, at, mix(h ^ (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+    return Words(data, starts, ends, at, *names(data, starts, ends))
 
 
 def slices(offs: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -145,11 +206,18 @@ def of_range(data: np.ndarray, offs: np.ndarray, at: int, to: int) -> tuple[np.n
     return data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
 
 
-def all_words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = SPACED, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of many documents and the word range of each, by slices of bounded size."""
-    found, counts = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+def all_names(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = SPACED, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both names of the words of many documents and the word range of each, by slices of bounded size."""
+    found, others, counts = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(1, np.int64)]
     for at, to in slices(offs):
         w = words(*of_range(data, offs, at, to), kind, lower)
         found.append(w.hashes)
+        others.append(w.others)
         counts.append(w.counts())
-    return np.concatenate(found), np.cumsum(np.concatenate(counts))
+    return np.concatenate(found), np.concatenate(others), np.cumsum(np.concatenate(counts))
+
+
+def all_words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = SPACED, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The first names of the words of many documents and the word range of each."""
+    first, _, at = all_names(data, offs, kind, lower)
+    return first, at
