@@ -1,14 +1,17 @@
 """Line dedup by winnowing over line hashes.
 
 The fingerprint of a window of ``run`` lines is the least hash of its grams of ``gram``
-lines, so each window has one and equal windows have the same. The chunks ask which
-fingerprints stand at two places; the windows of the others cannot repeat. Where repeats also
-qualify by their words, windows of fewer lines that hold that many take part like the others.
-The windows left
-are compared by 128-bit hashes of their lines, and the earliest place of each is found.
-Matching windows at neighbouring places extend each other to both sides: what they cover
-together are the repeated runs, which are deleted but for their first occurrence. Of equal
-texts only the first is asked about; the others go whole.
+lines, the first of them where several are equal; so each window has one, and equal windows
+have the same at the same place inside. The chunks ask which fingerprints stand at two
+places; the windows of the others cannot repeat. Where repeats also qualify by their words,
+windows of fewer lines that hold that many take part like the others.
+
+The fingerprints left are joined by position: each goes to its bucket with its place and the
+names of the lines around it, as far as a window can reach. There the matches are extended
+line by line to both sides, and of equal windows around equal fingerprints the earliest
+place is found. What later windows cover together are the repeated runs, which are deleted
+but for their first occurrence. A chunk sends equal surroundings once, with their earliest
+place. Of equal texts only the first is asked about; the others go whole.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import text as T
-from .substring import _groups, _one_or_many, _roots, _window_keys, covered
+from .substring import _answer_symbols, _distinct, _one_or_many, _roots, _window_keys, covered
 from .text import U64
 
 _ROOT = U64((1 << 48) - 1)
@@ -44,12 +47,14 @@ def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _lines(body: bytes):
+    """Documents' ids, bytes and offsets; both names of their lines, words in them, and their ranges of lines."""
     ids, data, offs = B.unpack_chunk(body)
-    found, counts, words = [np.zeros(0, U64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+    found, others, counts, words = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
     for a, z in T.slices(offs):
         own, bounds = T.of_range(data, offs, a, z)
         s, e, at = spans(own, bounds)
-        found.append(T.mix(T.segment_hash(own.astype(U64) + U64(1), s, e) ^ (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)) if len(s) else found[0])
+        for to, x in zip((found, others), T.names(own, s, e), strict=True):
+            to.append(x)
         counts.append(np.diff(at))
         # A word begins at a byte of a word that follows none; a line's first byte follows a break.
         word = T.SPACED[own]
@@ -58,54 +63,51 @@ def _lines(body: bytes):
         begins[bounds[:-1][np.diff(bounds) > 0]] = word[bounds[:-1][np.diff(bounds) > 0]]
         sums = np.concatenate([[0], np.cumsum(begins)])
         words.append(sums[e] - sums[s])
-    return ids, data, offs, np.concatenate(found), np.concatenate(words), np.cumsum(np.concatenate(counts))
+    return ids, data, offs, np.concatenate(found), np.concatenate(others), np.concatenate(words), np.cumsum(np.concatenate(counts))
 
 
 def _fingerprints(lines: np.ndarray, at: np.ndarray, run: int, gram: int):
-    """First line, document and fingerprint of each window of ``run`` lines."""
+    """First line, document, fingerprint and its first line, of each window of ``run`` lines."""
     n = np.diff(at)
     many = np.maximum(n - run + 1, 0)
     where = np.repeat(at[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     doc = np.repeat(np.arange(len(n)), many)
     if not len(where):
-        return where, doc, np.zeros(0, U64)
-    starts = np.arange(len(lines) - gram + 1)
-    grams = T.mix(T.segment_hash(T.mix(lines, 61), starts, starts + gram), 62)
-    least = sliding_window_view(grams, run - gram + 1).min(axis=1)
-    return where, doc, least[where]
+        return where, doc, np.zeros(0, U64), where
+    grams = T.chained(lines, np.arange(len(lines) - gram + 1), gram, 61)
+    spot = where + sliding_window_view(grams, run - gram + 1).argmin(axis=1)[where]
+    return where, doc, grams[spot], spot
 
 
 def _windows(lines: np.ndarray, counts: np.ndarray, at: np.ndarray, run: int, gram: int, words: int | None):
-    """First line, lines, document and fingerprint of the windows of ``run`` lines and of fewer with ``words`` words."""
+    """First line, lines, document, fingerprint and its line of the windows of ``run`` lines and of fewer with ``words`` words."""
     found = []
     sums = np.concatenate([[0], np.cumsum(counts)])
     for many in range(run if words is None else 1, run + 1):
-        where, doc, prints = _fingerprints(lines, at, many, min(gram, many))
+        where, *more = _fingerprints(lines, at, many, min(gram, many))
         if many < run:
             enough = sums[where + many] - sums[where] >= words
-            where, doc, prints = where[enough], doc[enough], prints[enough]
-        found.append((where, np.full(len(where), many), doc, prints))
+            where, more = where[enough], [x[enough] for x in more]
+        found.append((where, np.full(len(where), many), *more))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _ask_prints(n_buckets: int, run: int, gram: int, words: int | None):
     def go(chunk: int, body: bytes) -> pa.RecordBatch:
-        ids, _, _, lines, counts, at = _lines(body)
-        roots = _roots(lines, at)
-        where, many_lines, doc, prints = _windows(lines, counts, at, run, gram, words)
+        ids, _, _, lines, others, counts, at = _lines(body)
+        roots, rest = _roots(lines, others, at)
+        where, many_lines, doc, prints, _ = _windows(lines, counts, at, run, gram, words)
         # Windows of one text share a fingerprint where they overlap; what counts is a second
         # text, or a window of equal lines at another place of the same text.
         keys, owner, many = _one_or_many(prints, (roots & _ROOT)[doc], np.zeros(len(prints), bool))
-        high, low = _window_keys(lines, where, many_lines)
+        high, low = _window_keys(lines, others, where, many_lines)
         order = np.lexsort((low, high, doc))
         again = np.flatnonzero((doc[order][1:] == doc[order][:-1]) & (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1]))
         many[np.searchsorted(keys, prints[order[again]])] = True
         cut = B.split(keys, n_buckets)
-        order = np.argsort(roots, kind="stable")
-        first, own = _groups(roots[order])
-        least = np.minimum.reduceat(ids[order], first) if len(first) else ids[:0]
+        own, rest, least, _ = _distinct(roots, rest, ids)
         top = B.split(own, n_buckets)
-        return B.rows([(chunk, "prints", b, B.dump(sorted_keys=keys[i:j], owner=np.where(many[i:j], U64(0), owner[i:j]), many=many[i:j], sorted_roots=own[k:m], least=least[k:m])) for b, (i, j, k, m) in enumerate(zip(cut, cut[1:], top, top[1:], strict=False)) if j > i or m > k])
+        return B.rows([(chunk, "prints", b, B.dump(sorted_keys=keys[i:j], owner=np.where(many[i:j], U64(0), owner[i:j]), many=many[i:j], sorted_roots=own[k:m], rest=rest[k:m], least=least[k:m])) for b, (i, j, k, m) in enumerate(zip(cut, cut[1:], top, top[1:], strict=False)) if j > i or m > k])
 
     return go
 
@@ -121,61 +123,144 @@ def _first_place(high, low, doc_id, line):
     return h[at], lo[at], doc_id[order][at], line[order][at], place
 
 
-def _ask_windows(n_buckets: int, run: int, gram: int, words: int | None):
+class _Spots:
+    """Fingerprints of windows of ``many`` lines, with the lines around them that windows can reach.
+
+    before: lines that a window can have before its fingerprint. asked: by fingerprint, and
+    by how many lines before it a window begins, whether there is such a window.
+    """
+
+    def __init__(self, where, spot, ids, doc, at, lines, others, many: int, gram: int):
+        gram = min(gram, many)
+        self.before = many - gram
+        self.spot, self.of = np.unique(spot, return_inverse=True)
+        self.back = spot - where
+        self.asked = np.zeros((len(self.spot), self.before + 1), dtype=bool)
+        self.asked[self.of, self.back] = True
+        own = np.zeros(len(self.spot), np.int64)
+        own[self.of] = doc
+        around = self.spot[:, None] + np.arange(-self.before, gram + self.before)
+        inside = (around >= at[own][:, None]) & (around < at[own + 1][:, None])
+        around = np.clip(around, 0, max(len(lines) - 1, 0))
+        self.names = [np.where(inside, x[around], U64(0)) if len(lines) else np.zeros(around.shape, U64) for x in (lines, others)]
+        self.doc, self.line = ids[own], self.spot - at[own]
+        self.key = T.chained(lines, self.spot, gram, 61)
+        # Equal surroundings are sent once, with their earliest place; in order of fingerprints.
+        high, low = (_row_hash(np.concatenate([x, self.asked.astype(U64)], axis=1), 65 + k) for k, x in enumerate(self.names))
+        high, _, self.first_doc, self.first_line, self.place = _first_place(high, low, self.doc, self.line)
+        one = np.zeros(len(high), np.int64)
+        one[self.place] = np.arange(len(self.spot))
+        self.order = np.argsort(self.key[one], kind="stable")
+        self.one = one[self.order]
+
+    def block(self, i: int, j: int, many: int) -> dict[str, np.ndarray]:
+        own = self.one[i:j]
+        o = self.order[i:j]
+        return {f"doc{many}": self.first_doc[o], f"line{many}": B.slim(self.first_line[o]), f"asked{many}": self.asked[own].reshape(-1), f"first{many}": self.names[0][own].reshape(-1), f"other{many}": self.names[1][own].reshape(-1)}
+
+    def later(self, told: np.ndarray) -> np.ndarray:
+        """Which windows, in the order given, stand at a later place; told: those of the sent ones that do."""
+        sent = np.zeros((len(self.one), self.before + 1), dtype=bool)
+        sent[self.order] = told.reshape(-1, self.before + 1)
+        behind = (self.doc != self.first_doc[self.place]) | (self.line != self.first_line[self.place])
+        return sent[self.place[self.of], self.back] | behind[self.of]
+
+
+def _row_hash(x: np.ndarray, seed: int) -> np.ndarray:
+    h = np.full(len(x), seed, dtype=U64)
+    for k in range(x.shape[1]):
+        h = T.mix(h ^ x[:, k], seed + k)
+    return h
+
+
+def _first_place(high, low, doc_id, line):
+    """Distinct (high, low) in order, the earliest (doc_id, line) of each, and each row's place among them."""
+    order = np.lexsort((line, doc_id, low, high))
+    h, lo = high[order], low[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])) if len(h) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    place = np.empty(len(h), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return h[at], lo[at], doc_id[order][at], line[order][at], place
+
+
+def _sizes(run: int, words: int | None) -> range:
+    return range(run if words is None else 1, run + 1)
+
+
+def _ask_spots(n_buckets: int, run: int, gram: int, words: int | None):
     def go(chunk: int, found: dict) -> pa.RecordBatch:
-        ids, _, _, lines, counts, at = _lines(found["text"][-1])
-        roots = _roots(lines, at)
-        where, many, doc, prints = _windows(lines, counts, at, run, gram, words)
+        ids, _, _, lines, others, counts, at = _lines(found["text"][-1])
+        where, many, doc, prints, spot = _windows(lines, counts, at, run, gram, words)
         told = [B.load(body) for _, body in sorted(found.get("shared", {}).items())]
         shared = np.concatenate([x["shared"] for x in told]) if told else np.zeros(0, bool)
         least = np.concatenate([x["least"] for x in told]) if told else ids[:0]
-        copy = least[np.searchsorted(np.unique(roots), roots)] < ids
+        copy = least[_distinct(*_roots(lines, others, at), ids)[3]] < ids
         stay = shared[np.searchsorted(np.unique(prints), prints)] & ~copy[doc]
-        where, many, doc = where[stay], many[stay], doc[stay]
-        high, low = _window_keys(lines, where, many)
-        high, low, doc_id, line, _ = _first_place(high, low, ids[doc], where - at[doc])
-        cut = B.split(high, n_buckets)
-        state = (chunk, "state", chunk % n_buckets, B.dump(sorted_where=where, lines=many, copy=copy))
-        return B.rows([state] + [(chunk, "windows", b, B.dump(sorted_keys=high[i:j], low=low[i:j], doc=doc_id[i:j], line=line[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i])
+        where, many, doc, spot = where[stay], many[stay], doc[stay], spot[stay]
+        blocks: list[dict] = [{} for _ in range(n_buckets)]
+        for m in _sizes(run, words):
+            own = many == m
+            spots = _Spots(where[own], spot[own], ids, doc[own], at, lines, others, m, gram)
+            cut = B.split(spots.key[spots.one], n_buckets)
+            for b, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
+                if j > i:
+                    blocks[b] |= spots.block(i, j, m)
+        state = (chunk, "state", chunk % n_buckets, B.dump(where=where, lines=B.slim(many), spot=spot, copy=copy))
+        return B.rows([state] + [(chunk, "spots", b, B.dump(**x)) for b, x in enumerate(blocks) if x])
+
+    return go
+
+
+def _answer_spots(run: int, gram: int, words: int | None):
+    def go(table: pa.Table) -> pa.RecordBatch:
+        out, asked, who = [], [], []
+        for c, kind, b, body in zip(*(table[x].to_pylist() for x in ("chunk", "kind", "bucket", "body")), strict=True):
+            if kind == "state":
+                out.append((c, kind, b, body))
+            else:
+                asked.append(B.load(body))
+                who.append((c, b))
+        answers: list[dict] = [{} for _ in asked]
+        for m in _sizes(run, words):
+            have = [k for k, x in enumerate(asked) if f"doc{m}" in x]
+            if not have:
+                continue
+            before = m - min(gram, m)
+            doc, line, wanted, first, other = (np.concatenate([asked[k][f"{x}{m}"] for k in have]) for x in ("doc", "line", "asked", "first", "other"))
+            line, wanted = line.astype(np.int64), wanted.reshape(len(doc), -1)
+            names = first.reshape(len(doc), -1), other.reshape(len(doc), -1)
+            later = np.zeros(wanted.shape, dtype=bool)
+            # A window begins ``back`` lines before its fingerprint and goes on to its other side.
+            for back in range(before + 1):
+                own = np.flatnonzero(wanted[:, back])
+                keys = (_row_hash(x[own, before - back : before - back + m], 67 + k) for k, x in enumerate(names))
+                _, _, first_doc, first_line, place = _first_place(*keys, doc[own], line[own] - back)
+                later[own, back] = (first_doc[place] != doc[own]) | (first_line[place] != line[own] - back)
+            at = 0
+            for k in have:
+                n = len(asked[k][f"doc{m}"])
+                answers[k][f"later{m}"] = later[at : at + n].reshape(-1)
+                at += n
+        return B.rows(out + [(c, "later", b, B.dump(**x)) for (c, b), x in zip(who, answers, strict=True)])
 
     return go
 
 
-def _answer_windows(table: pa.Table) -> pa.RecordBatch:
-    out, asked, who = [], [], []
-    for c, kind, b, body in zip(*(table[x].to_pylist() for x in ("chunk", "kind", "bucket", "body")), strict=True):
-        if kind == "state":
-            out.append((c, kind, b, body))
-        else:
-            asked.append(B.load(body))
-            who.append((c, b))
-    if asked:
-        high, low, doc, line = (np.concatenate([x[k] for x in asked]) for k in ("sorted_keys", "low", "doc", "line"))
-        _, _, doc, line, place = _first_place(high, low, doc, line)
-        at = 0
-        for (c, b), x in zip(who, asked, strict=True):
-            n = len(x["low"])
-            out.append((c, "first", b, B.dump(doc=doc[place[at : at + n]], line=line[place[at : at + n]])))
-            at += n
-    return B.rows(out)
-
-
-def _rewrite(run: int, words: int | None, finish):
+def _rewrite(run: int, gram: int, words: int | None, finish):
     def go(chunk: int, found: dict) -> pa.RecordBatch:
         body = found["text"][-1]
-        ids, data, offs, lines, counts, at = _lines(body)
+        ids, data, offs, lines, others, counts, at = _lines(body)
         (state,) = (B.load(x) for x in found["state"].values())
-        where, many, copy = state["sorted_where"], state["lines"], state["copy"]
+        where, many, spot, copy = state["where"], state["lines"].astype(np.int64), state["spot"], state["copy"]
         n = np.diff(at)
         doc = np.repeat(np.arange(len(ids)), n)
-        own = doc[where]
-        line = where - at[own]
-        high, low = _window_keys(lines, where, many)
-        told = [B.load(x) for _, x in sorted(found.get("first", {}).items())]
-        first_doc = np.concatenate([x["doc"] for x in told]) if told else ids[:0]
-        first_line = np.concatenate([x["line"] for x in told]) if told else ids[:0]
-        place = _first_place(high, low, ids[own], line)[-1]
-        later = (first_doc[place] < ids[own]) | (first_doc[place] == ids[own]) & (first_line[place] < line)
+        told = [B.load(x) for _, x in sorted(found.get("later", {}).items())]
+        later = np.zeros(len(where), dtype=bool)
+        for m in _sizes(run, words):
+            own = many == m
+            spots = _Spots(where[own], spot[own], ids, doc[where[own]], at, lines, others, m, gram)
+            later[own] = spots.later(np.concatenate([np.zeros(0, bool), *[x[f"later{m}"] for x in told if f"later{m}" in x]]))
         whole = n >= run
         if words is not None:
             whole |= (n > 0) & (np.bincount(doc, weights=counts, minlength=len(ids)) >= words)
@@ -197,21 +282,15 @@ def _rewrite(run: int, words: int | None, finish):
     return go
 
 
-def _answer_prints(table: pa.Table) -> pa.RecordBatch:
-    from .substring import _answer_symbols
-
-    return _answer_symbols(table)
-
-
 def _dedup(docs: DataFrame, run: int, gram: int, words: int | None, finish, schema, extra: bool) -> DataFrame:
     if not 1 <= gram <= run or words is not None and words < 1:
         raise ValueError("1 <= gram <= run and 1 <= words must hold")
-    n = B.buckets(docs.sparkSession)
     parts = B.chunks(docs, extra=extra)
-    shared = B.by_bucket(B.by_row(parts, _ask_prints(n, run, gram, words)), _answer_prints)
-    asked = B.by_chunk([parts, shared], _ask_windows(n, run, gram, words))
-    told = B.by_bucket(asked, _answer_windows)
-    return B.by_chunk([parts, told], _rewrite(run, words, finish), schema)
+    n = B.buckets(parts)
+    shared = B.by_bucket(B.by_row(parts, _ask_prints(n, run, gram, words)), _answer_symbols)
+    asked = B.by_chunk([parts, shared], _ask_spots(n, run, gram, words))
+    told = B.by_bucket(asked, _answer_spots(run, gram, words))
+    return B.by_chunk([parts, told], _rewrite(run, gram, words, finish), schema)
 
 
 def line_dedup(docs: DataFrame, run: int | None = None, gram: int = 2, words: int | None = None) -> DataFrame:

@@ -3,8 +3,8 @@
 Each document is parsed by rounds that name runs and pairs (recompress.py); equal
 substrings get the same symbols but near their ends. The chunks ask which symbols stand in
 two different texts. A window of words can only be a repeat if all symbols that it
-determines do, so few windows are left; these are compared by 128-bit hashes of their
-words, and for each the smallest document that holds it is found. The whole document is
+determines do, so few windows are left; these are compared by two 64-bit names made of two
+independent names of each word, and for each the smallest document that holds it is found. The whole document is
 the topmost symbol: of equal texts only the one with the smallest id is parsed further,
 and the others go whole.
 """
@@ -27,14 +27,14 @@ _ROOT = U64((1 << 48) - 1)
 
 
 def _words(body: bytes):
+    """Documents' ids, bytes and offsets, both names of their words, and their ranges of words."""
     ids, data, offs = B.unpack_chunk(body)
-    return ids, data, offs, *T.all_words(data, offs)
+    return ids, data, offs, *T.all_names(data, offs)
 
 
-def _roots(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of each document's word sequence."""
-    n = np.diff(at).astype(U64)
-    return T.mix(T.segment_hash(T.mix(tokens, 5), at[:-1], at[1:]) ^ T.mix(n, 6), 7)
+def _roots(tokens: np.ndarray, others: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of each document's sequence of words or lines."""
+    return T.segment_hash(tokens, at[:-1], at[1:]), T.segment_hash(others, at[:-1], at[1:], 1)
 
 
 def _symbols(tokens: np.ndarray, at: np.ndarray, rounds: int, window: int):
@@ -77,16 +77,14 @@ def _one_or_many(keys: np.ndarray, owner: np.ndarray, many: np.ndarray):
 
 def _ask_symbols(n_buckets: int, rounds: int, window: int):
     def run(chunk: int, body: bytes) -> pa.RecordBatch:
-        ids, _, _, tokens, at = _words(body)
-        roots = _roots(tokens, at)
+        ids, _, _, tokens, others, at = _words(body)
+        roots, rest = _roots(tokens, others, at)
         name, _, _, doc = _symbols(tokens, at, rounds, window)
         keys, owner, many = _one_or_many(name, (roots & _ROOT)[doc], np.zeros(len(name), bool))
         cut = B.split(keys, n_buckets)
-        order = np.argsort(roots, kind="stable")
-        first, own = _groups(roots[order])
-        least = np.minimum.reduceat(ids[order], first) if len(first) else ids[:0]
+        own, rest, least, _ = _distinct(roots, rest, ids)
         top = B.split(own, n_buckets)
-        return B.rows([(chunk, "symbols", b, B.dump(sorted_keys=keys[i:j], owner=np.where(many[i:j], U64(0), owner[i:j]), many=many[i:j], sorted_roots=own[k:m], least=least[k:m])) for b, (i, j, k, m) in enumerate(zip(cut, cut[1:], top, top[1:], strict=False)) if j > i or m > k])
+        return B.rows([(chunk, "symbols", b, B.dump(sorted_keys=keys[i:j], owner=np.where(many[i:j], U64(0), owner[i:j]), many=many[i:j], sorted_roots=own[k:m], rest=rest[k:m], least=least[k:m])) for b, (i, j, k, m) in enumerate(zip(cut, cut[1:], top, top[1:], strict=False)) if j > i or m > k])
 
     return run
 
@@ -98,17 +96,18 @@ def _answer_symbols(table: pa.Table) -> pa.RecordBatch:
     owner = np.concatenate([x["owner"] for x in asked])
     many = np.concatenate([x["many"] for x in asked])
     found, _, several = _one_or_many(keys, owner, many)
-    roots = np.concatenate([x["sorted_roots"] for x in asked])
-    least = np.concatenate([x["least"] for x in asked])
-    order = np.argsort(roots, kind="stable")
-    at, own = _groups(roots[order])
-    least = np.minimum.reduceat(least[order], at) if len(at) else least
-    return B.rows([(c, "shared", b, B.dump(shared=several[np.searchsorted(found, x["sorted_keys"])], least=least[np.searchsorted(own, x["sorted_roots"])])) for c, b, x in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), asked, strict=True)])
+    _, _, least, place = _distinct(*(np.concatenate([x[k] for x in asked]) for k in ("sorted_roots", "rest", "least")))
+    out, at = [], 0
+    for c, b, x in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), asked, strict=True):
+        n = len(x["least"])
+        out.append((c, "shared", b, B.dump(shared=several[np.searchsorted(found, x["sorted_keys"])], least=least[place[at : at + n]])))
+        at += n
+    return B.rows(out)
 
 
-def _window_keys(tokens: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the windows that begin at the given words."""
-    return T.mix(T.segment_hash(T.mix(tokens, 21), at, at + window), 22), T.mix(T.segment_hash(T.mix(tokens, 23), at, at + window), 24)
+def _window_keys(tokens: np.ndarray, others: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of the windows that begin at the given words, each from other names of the words."""
+    return T.segment_hash(tokens, at, at + window), T.segment_hash(others, at, at + window, 1)
 
 
 def _distinct(high: np.ndarray, low: np.ndarray, value: np.ndarray):
@@ -124,19 +123,18 @@ def _distinct(high: np.ndarray, low: np.ndarray, value: np.ndarray):
 
 def _ask_windows(n_buckets: int, rounds: int, window: int):
     def run(chunk: int, found: dict) -> pa.RecordBatch:
-        ids, _, _, tokens, at = _words(found["text"][-1])
-        roots = _roots(tokens, at)
+        ids, _, _, tokens, others, at = _words(found["text"][-1])
         name, left, right, _ = _symbols(tokens, at, rounds, window)
         told = [B.load(body) for _, body in sorted(found.get("shared", {}).items())]
         shared = np.concatenate([x["shared"] for x in told]) if told else np.zeros(0, bool)
         least = np.concatenate([x["least"] for x in told]) if told else ids[:0]
-        copy = least[np.searchsorted(np.unique(roots), roots)] < ids
+        copy = least[_distinct(*_roots(tokens, others, at), ids)[3]] < ids
         keys = np.unique(name)
         free = open_windows(left, right, ~shared[np.searchsorted(keys, name)], at, window)
         doc = np.repeat(np.arange(len(ids)), np.diff(at))
         # Of equal texts in one chunk only one has the least id; rows that share an id stay.
         where = np.flatnonzero(free & ~copy[doc])
-        high, low = _window_keys(tokens, where, window)
+        high, low = _window_keys(tokens, others, where, window)
         high, low, first, _ = _distinct(high, low, ids[doc[where]])
         cut = B.split(high, n_buckets)
         state = (chunk, "state", chunk % n_buckets, B.dump(sorted_where=where, copy=copy))
@@ -191,11 +189,11 @@ def joined(data: np.ndarray, offs: np.ndarray, stay: np.ndarray) -> list[memoryv
 
 def _rewrite(window: int, texts: bool):
     def run(chunk: int, found: dict) -> pa.RecordBatch:
-        ids, data, offs, tokens, at = _words(found["text"][-1])
+        ids, data, offs, tokens, others, at = _words(found["text"][-1])
         (state,) = (B.load(x) for x in found["state"].values())
         where, copy = state["sorted_where"], state["copy"]
         doc = np.repeat(np.arange(len(ids)), np.diff(at))
-        high, low = _window_keys(tokens, where, window)
+        high, low = _window_keys(tokens, others, where, window)
         told = [B.load(body)["least"] for _, body in sorted(found.get("least", {}).items())]
         least = np.concatenate(told) if told else ids[:0]
         _, _, _, place = _distinct(high, low, ids[doc[where]])
@@ -223,8 +221,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, rounds: int = 5, texts: b
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    n = B.buckets(docs.sparkSession)
     parts = B.chunks(docs)
+    n = B.buckets(parts)
     shared = B.by_bucket(B.by_row(parts, _ask_symbols(n, rounds, window)), _answer_symbols)
     asked = B.by_chunk([parts, shared], _ask_windows(n, rounds, window))
     told = B.by_bucket(asked, _answer_windows)
