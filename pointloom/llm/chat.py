@@ -8,7 +8,7 @@ proper prefix of another go by an anti-join; the rest are rendered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
@@ -20,11 +20,17 @@ def _tagged(name: str) -> Column:
 
 
 def _rolled(turns: Column) -> Column:
+    """The rolling hash of each prefix, shortest first.
+
+    The fold carries one string: the hashes so far, each of 64 characters, so a step adds its
+    hash to the end and reads the one before it there.
+    """
+
     def step(done: Column, turn: Column) -> Column:
-        last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))
-        return F.concat(done, F.array(F.sha2(F.concat(last, turn["digest"]), 256)))
+        return F.concat(done, F.sha2(F.concat(F.substring(done, -64, 64), turn["digest"]), 256))
 
-    return F.aggregate(turns, F.array().cast("array<string>"), step)
+    whole = F.aggregate(turns, F.lit(""), step)
+    return F.transform(F.sequence(F.lit(0), F.size(turns) - 1), lambda k: F.substr(whole, k * 64 + 1, F.lit(64)))
 
 
 def rendered(turns: Column) -> Column:
@@ -43,12 +49,17 @@ def collapse(conversations: DataFrame) -> DataFrame:
     brought together; nothing else is.
     """
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("digest", F.sha2(F.concat(_tagged("role"), F.lit("|"), _tagged("text")), 256))
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "digest")))
-    whole = rows.groupBy("conv_id").agg(turns.alias("turns")).withColumn("hashes", _rolled(F.col("turns")))
-    whole = written(whole.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "hashes", rendered(F.col("turns")).alias("rendered")))
-    each = whole.groupBy(F.element_at("hashes", -1).alias("hash")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    # Proper prefixes of one conversation of each kind; common ones come together before the shuffle.
+    digest = F.sha2(F.concat(_tagged("role"), F.lit("|"), _tagged("text")), 256)
+    # Turns that are equal in turn and order alike in role and text, so their digests stand for them; only these are brought together.
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")))
+    placed = rows.select("conv_id", place.alias("place"), digest.alias("digest"))
+    turns = F.sort_array(F.collect_list(F.struct("place", "digest")))
+    whole = placed.groupBy("conv_id").agg(turns.alias("turns")).withColumn("hashes", _rolled(F.col("turns")))
+    whole = written(whole.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "hashes"))
+    each = whole.groupBy(F.element_at("hashes", -1).alias("hash")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"), F.first("n_turns").alias("n_turns"))
+    # Proper prefixes; common ones come together before the shuffle.
     prefixes = whole.select(F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - 1)).alias("hash")).distinct()
-    maximal = each.join(prefixes, "hash", "left_anti").select("conv_id", "n_copies")
-    return whole.join(maximal, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
+    maximal = each.join(prefixes, "hash", "left_anti").select("conv_id", "n_turns", "n_copies")
+    # Only the maximal conversations are rendered.
+    own = rows.join(maximal, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return own.select("conv_id", "n_turns", "n_copies", rendered(F.col("turns")).alias("rendered"))

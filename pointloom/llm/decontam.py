@@ -3,7 +3,8 @@
 The patterns are the windows of the benchmark items. For each pattern length m there is a
 shift table by the hash of a block of two words (one word where m is 1): how far a cursor
 may move when that block ends at it. Where the shift is 0, the block's bucket lists the
-patterns that end with it; those whose first block agrees too are compared word by word.
+patterns that end with it; those whose first block agrees too are compared with the text,
+word by word, by both names of each word (128 bits).
 The cursors of many stretches of text advance together as arrays.
 
 The tables of one search hold a bounded number of patterns. A benchmark with more is cut
@@ -30,10 +31,11 @@ RESULT = "doc_id long, n_words long, n_hit long, items array<long>, spans array<
 
 
 class Search:
-    """Tables for patterns of one length; ``words`` has a row of word hashes for each."""
+    """Tables for patterns of one length; ``patterns`` and ``others`` have a row of first and second word names for each."""
 
-    def __init__(self, patterns: np.ndarray):
+    def __init__(self, patterns: np.ndarray, others: np.ndarray):
         self.m = m = patterns.shape[1]
+        self.others = others
         self.block = min(2, m)
         self.patterns = patterns
         bits = max(16, int(np.ceil(np.log2(max(1, patterns.size) * 8))))
@@ -51,7 +53,7 @@ class Search:
     def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return T.mix(a * U64(3) + b) if self.block == 2 else T.mix(b)
 
-    def find(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, words: np.ndarray, others: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word index, pattern) of all occurrences inside the documents given by offsets."""
         m, at, stop = self.m, [], []
         lo, hi = offsets[:-1] + m - 1, offsets[1:]
@@ -70,9 +72,9 @@ class Search:
             at = at + np.maximum(step, 1)
             going = at < stop
             at, stop = at[going], stop[going]
-        return self._compare(words, np.concatenate(ends))
+        return self._compare(words, others, np.concatenate(ends))
 
-    def _compare(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _compare(self, words: np.ndarray, others: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m, back = self.m, self.block - 1
         last = self._hash(words[ends - back], words[ends])
         place = np.minimum(np.searchsorted(self.bucket, last), len(self.bucket) - 1)
@@ -91,7 +93,7 @@ class Search:
             row, pattern = row[same], pattern[same]
             start = ends[row] - m + 1
             for j in range(m):
-                same = words[start + j] == self.patterns[pattern, j]
+                same = (words[start + j] == self.patterns[pattern, j]) & (others[start + j] == self.others[pattern, j])
                 start, pattern = start[same], pattern[same]
             starts.append(start)
             which.append(pattern)
@@ -109,17 +111,18 @@ def build(items: list[tuple[int, str | None]], window: int) -> list[tuple[Search
         own = np.flatnonzero(n >= window) if m == window else np.flatnonzero(n == m)
         many = n[own] - m + 1
         start = np.repeat(w.offsets[:-1][own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        found, place = np.unique(w.hashes[start[:, None] + np.arange(m)], axis=0, return_inverse=True)
+        at = start[:, None] + np.arange(m)
+        found, place = np.unique(np.concatenate([w.hashes[at], w.others[at]], axis=1), axis=0, return_inverse=True)
         pairs = np.unique(np.stack([place.reshape(-1), np.repeat(ids[own], many)], axis=1), axis=0)
-        out.append((Search(found), np.searchsorted(pairs[:, 0], np.arange(len(found) + 1)), pairs[:, 1]))
+        out.append((Search(np.ascontiguousarray(found[:, :m]), np.ascontiguousarray(found[:, m:])), np.searchsorted(pairs[:, 0], np.arange(len(found) + 1)), pairs[:, 1]))
     return out
 
 
-def _hits(tables, words: np.ndarray, offsets: np.ndarray):
+def _hits(tables, words: np.ndarray, others: np.ndarray, offsets: np.ndarray):
     """(document, first word, end) of occurrences, and distinct (document, item)."""
     spans, items = [np.zeros((0, 3), np.int64)], [np.zeros((0, 2), np.int64)]
     for search, bounds, ids in tables:
-        start, pattern = search.find(words, offsets)
+        start, pattern = search.find(words, others, offsets)
         doc = np.searchsorted(offsets, start, side="right") - 1
         spans.append(np.stack([doc, start - offsets[doc], start - offsets[doc] + search.m], axis=1))
         pairs = np.unique(np.stack([doc, pattern], axis=1), axis=0)
@@ -177,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_
 
         def run(chunk: int, body: bytes, part_no: int = len(found)) -> pa.RecordBatch:
             _, data, offs = B.unpack_chunk(body)
-            return B.rows([(chunk, "hits", part_no, _by_part(*_hits(tables.value, *T.all_words(data, offs, T.ALNUM, lower=True))))])
+            return B.rows([(chunk, "hits", part_no, _by_part(*_hits(tables.value, *T.all_names(data, offs, T.ALNUM, lower=True))))])
 
         return run
 
@@ -207,8 +210,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_
         for b in batches:
             data, offs = T.buffers(b.column("text"))
             for a, z in T.slices(offs, B.CHUNK_BYTES):
-                words, offsets = T.all_words(*T.of_range(data, offs, a, z), T.ALNUM, lower=True)
-                yield _result(b.column("doc_id").to_numpy(zero_copy_only=False)[a:z], offsets, *_hits(tables.value, words, offsets))
+                found = T.all_names(*T.of_range(data, offs, a, z), T.ALNUM, lower=True)
+                yield _result(b.column("doc_id").to_numpy(zero_copy_only=False)[a:z], found[-1], *_hits(tables.value, *found))
                 T.trim()
 
     return picked.mapInArrow(run, RESULT)

@@ -31,7 +31,7 @@ from ..plans.lineage import release, written
 from . import blocks as B
 from . import text as T
 from .text import U64
-from .tokens import gather
+from .tokens import distinct, gather
 
 FOLDS, HELD_OUT, ORDER = 5, 1, 3
 #: Counts up to SMALL are discounted.
@@ -86,18 +86,6 @@ def _summed(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[counts.sum(), (counts > 0).sum()], _small(counts)])
 
 
-def _distinct(first: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each different name first stands, in order of names, and the place of each among them."""
-    _, at, place = np.unique(first, return_index=True, return_inverse=True)
-    if (other[at][place] == other).all():
-        return at, place
-    order = np.lexsort((other, first))  # one first name stands for two words
-    new = np.append(True, (first[order][1:] != first[order][:-1]) | (other[order][1:] != other[order][:-1]))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return order[new], place
-
-
 class _Chunk:
     """A chunk's documents, whether held out, and tokens: words with A-Z lower-cased and an end each."""
 
@@ -111,7 +99,7 @@ class _Chunk:
                 to.append(x)
         starts, ends, first, other, counts = (np.concatenate(x) for x in (starts, ends, first, other, counts))
         at = np.concatenate([[0], np.cumsum(counts)])
-        which, place = _distinct(first, other) if len(first) else (first.astype(np.int64), first.astype(np.int64))
+        which, place = distinct(first, other) if len(first) else (first.astype(np.int64), first.astype(np.int64))
         self.first, self.size = first[which], (ends - starts)[which]
         self.bytes = gather(data, starts[which], self.size)
         # The end is the chunk's last word.
@@ -146,7 +134,7 @@ def _answer_words(n_buckets: int):
         if asked:
             size = np.concatenate([x["size"].astype(np.int64) for _, x in asked])
             to = np.cumsum(size)
-            at, place = _distinct(*T.names(np.concatenate([x["text"] for _, x in asked]), to - size, to))
+            at, place = distinct(*T.names(np.concatenate([x["text"] for _, x in asked]), to - size, to))
             total = np.zeros(len(at), np.int64)
             np.add.at(total, place, np.concatenate([x["count"] for _, x in asked]))
             number = np.empty(len(at), np.int64)

@@ -52,7 +52,7 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys = np.zeros(1 << _SLOTS, dtype=U64)
+        self.keys, self.others = np.zeros(1 << _SLOTS, dtype=U64), np.zeros(1 << _SLOTS, dtype=U64)
         self.at = np.zeros(1 << _SLOTS, dtype=np.int64)
         self.size = np.full(1 << _SLOTS, -1, dtype=np.int32)
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
@@ -111,13 +111,15 @@ class Encoder:
         s[order], e[order] = starts, cut
         s[order[apart] + 1], e[order[apart] + 1] = cut[apart], ends[apart]
         where = np.append(order, n)[at]
-        h = T.mix(T.segment_hash(low.astype(U64) + U64(1), s, e) ^ (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
+        # A piece is known by both its names, which together stand for its bytes.
+        h, rest = T.names(low, s, e)
         slot = (h >> U64(64 - _SLOTS)).astype(np.int64)
-        known = (self.keys[slot] == h) & (self.size[slot] >= 0)
+        known = (self.keys[slot] == h) & (self.others[slot] == rest) & (self.size[slot] >= 0)
         first, size = self.at[slot], self.size[slot].astype(np.int64)
         miss = np.flatnonzero(~known)
         if len(miss):
-            new, which, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            which, back = distinct(h[miss], rest[miss])
+            new, more = h[miss[which]], rest[miss[which]]
             raw = low.tobytes()
             flat, sizes = self._encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[miss[which]].tolist(), e[miss[which]].tolist(), strict=True)])
             if self.used + len(flat) > _FLAT:
@@ -125,17 +127,17 @@ class Encoder:
                 pick = np.flatnonzero(known)
                 old, inv = np.unique(slot[pick], return_inverse=True)
                 a, z = self.at[old], self.size[old].astype(np.int64)
-                own = self.keys[old]
+                own, others = self.keys[old], self.others[old]
                 self._reset()
-                self._add(own, gather(kept, a, z), z)
+                self._add(own, others, gather(kept, a, z), z)
                 first[pick] = self.at[old][inv]
-            begin = self._add(new, flat, sizes)
+            begin = self._add(new, more, flat, sizes)
             first[miss], size[miss] = begin[back], sizes[back]
         ids = gather(self.flat, first, size)
         bounds = np.concatenate([[0], np.cumsum(size)])[where]
         return ids, bounds
 
-    def _add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def _add(self, keys: np.ndarray, others: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         if self.used + len(flat) > len(self.flat):
             grown = np.zeros(max(2 * len(self.flat), self.used + len(flat)), np.uint32)
             grown[: self.used] = self.flat[: self.used]
@@ -144,16 +146,24 @@ class Encoder:
         begin = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
         slot = (keys >> U64(64 - _SLOTS)).astype(np.int64)
-        self.keys[slot], self.at[slot], self.size[slot] = keys, begin, sizes
-        # Where two keys share a slot, numpy may keep the parts of different ones: mend them.
-        held = np.zeros(len(keys), dtype=bool)
-        _, last = np.unique(slot[::-1], return_index=True)
-        held[len(keys) - 1 - last] = True
-        own = slot[held]
-        self.keys[own], self.at[own], self.size[own] = keys[held], begin[held], sizes[held]
+        # Where several keys share a slot, one of them takes it.
+        own, held = np.unique(slot, return_index=True)
+        self.keys[own], self.others[own], self.at[own], self.size[own] = keys[held], others[held], begin[held], sizes[held]
         return begin
 
 
+def distinct(first: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different pair of names stands, in order of names, and the place of each among them."""
+    _, at, place = np.unique(first, return_index=True, return_inverse=True)
+    if (other[at][place] == other).all():
+        return at, place
+    order = np.lexsort((other, first))  # one first name stands for two strings
+    new = np.append(True, (first[order][1:] != first[order][:-1]) | (other[order][1:] != other[order][:-1]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
 def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[first:first+size] of all, one behind the other."""
     total = int(size.sum())
