@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled texts. Both end with
-the same stretch of ordinary text; the toxic one begins with what marks toxic text, the
-ordinary one with as much of what marks ordinary text. A window of a text that compresses
-better with the toxic dictionary is a sign of toxicity. The differences over all windows
-of a text are summed up by a few features, and a logistic curve that is calibrated on
+zstandard trains two dictionaries on a bounded sample of labelled texts: one on ordinary
+text, one on toxic text. A window of a text is compressed with the ordinary dictionary and
+with both (the toxic one before the ordinary one); what the toxic one saves is a sign of
+toxicity. Most of a toxic text is ordinary, so the toxic dictionary is trained in rounds: at
+first on all windows of toxic texts, then on those that dictionaries of other texts compress
+better with toxic text than all but a few windows of ordinary texts. The savings over all
+windows of a text are summed up by a few features, and a logistic curve that is calibrated on
 labelled texts which the dictionaries have not seen turns them into a score.
 """
 
@@ -20,20 +22,26 @@ import zstandard as z
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
 from . import text as T
-from .text import U64
 
-#: Most labelled rows of each label that the model is fitted on (chosen by a hash of the id),
-#: and most bytes of all their texts: rows beyond them, not parts of texts, are left out.
+#: The sample that the model is fitted on: at most so many labelled rows of each label, in the
+#: order of a hash of the id, so many bytes of text of each label, and so many of one row. Rows
+#: beyond these bounds are left out whole; no text is cut.
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 16 << 20
+ROW_BYTES = 1 << 20
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: The column that score() adds.
 SCORE = "__toxicity"
 #: Words in a window, by feature group.
 WINDOWS = (8, 16)
-BASE_BYTES = 12_000
-UNITS = 160
+#: Dictionaries: bytes at most, words of a training window, and zstandard's segment and key sizes.
+ORDINARY, TOXIC = (512 << 10, 64, 64, 8), (8 << 10, 4, 16, 8)
+#: Rounds of the toxic dictionary, and the share of ordinary windows that a training window has to exceed.
+ROUNDS, BEYOND = 4, 0.95
+#: Labelled texts of either label that a model needs.
+FEWEST = 8
 LEVEL = 9
 
 
@@ -43,53 +51,84 @@ def _prepared(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(T.SPACED[data], data, 0x20).astype(np.uint8), np.cumsum([0, *[len(x) + 1 for x in texts]])
 
 
-def _beginnings(texts: list[bytes], size: int, only: np.ndarray | None = None):
-    """Hash of each word's first ``size`` bytes (of some only), its text, the word before it, and where it stands; by slices."""
-    data, offs = _prepared(texts)
-    out = [[np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]]
-    for a, z in T.slices(offs):
-        own, bounds = T.of_range(data, offs, a, z)
-        starts, ends, at = T.spans(own, bounds, T.SPACED)
-        if not len(starts):
-            continue
-        values = own.astype(U64) + U64(1)
-        whole = T.segment_hash(values, starts, ends)
-        fits = ends - starts >= size
-        h = T.mix(T.segment_hash(values, starts[fits], starts[fits] + size))
-        kept = np.flatnonzero(fits) if only is None else np.flatnonzero(fits)[np.isin(h, only)]
-        out[0].append(h if only is None else h[np.isin(h, only)])
-        out[1].append((np.repeat(np.arange(z - a), np.diff(at))[kept] + a).astype(U64))
-        out[2].append(np.append(U64(0), whole[:-1])[kept])
-        out[3].append(starts[kept] + offs[a])
-    return data, *[np.concatenate(x) for x in out]
-
-
-def _spread(h: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, and with how many different ``by`` each stands."""
-    _, first = np.unique(T.mix(h ^ T.mix(by, 91), 92), return_index=True)
-    return np.unique(h[first], return_counts=True)
-
-
-def _marks(texts: list[bytes], other: list[bytes]) -> list[bytes]:
-    """Words' beginnings that stand in many of texts, in many surroundings, and hardly in the others."""
-    found: list[tuple[int, bytes]] = []
-    for size in (4, 5, 6, 7, 8, 10, 12):
-        data, h, doc, before, at = _beginnings(texts, size)
-        key, count = _spread(h, doc)
-        around = _spread(h, before)[1]
-        fine = (count >= 8) & (around >= 8)
-        key, count = key[fine], count[fine]
-        _, rh, rdoc, _, _ = _beginnings(other, size, key)
-        rkey, rcount = _spread(rh, rdoc)
-        rivalled = np.zeros(len(key))
-        rivalled[np.searchsorted(key, rkey)] = rcount
-        odds = (count + 0.5) / (len(texts) + 1) * (len(other) + 1) / (rivalled + 0.5)
-        for k in np.flatnonzero(odds > 20):
-            first = at[np.argmax(h == key[k])]
-            found.append((int(count[k]), data[first : first + size].tobytes()))
-    # Where a longer beginning is about as frequent, it says more.
-    kept = [(n, x) for n, x in found if not any(len(y) > len(x) and y.startswith(x) and m >= 0.8 * n for m, y in found)]
-    return [x for _, x in sorted(kept, key=lambda t: (-t[0], t[1]))[:UNITS]]
+@dataclass
+class _Windows:
+    """Windows of a few words: where they begin and end, with the space before them, and in which text."""
+
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    doc: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offs: np.ndarray, size: int) -> _Windows:
+        starts, ends, at = T.spans(data, offs, T.SPACED)
+        words = np.diff(at)
+        many = -(-words // size)
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        doc = np.repeat(np.arange(len(words)), many)
+        a = at[:-1][doc] + k * size
+        b = np.minimum(a + size, at[1:][doc]) - 1
+        return cls(data.tobytes(), np.maximum(starts[a] - 1, 0), ends[b], doc)
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def some(self, which: np.ndarray) -> _Windows:
+        return _Windows(self.data, self.starts[which], self.ends[which], self.doc[which])
+
+    def sizes(self, tool: z.ZstdCompressor) -> np.ndarray:
+        """Compressed lengths."""
+        if not len(self):
+            return np.zeros(0, np.int64)
+        spans = np.stack([self.starts, self.ends - self.starts], axis=1).astype(np.uint64)
+        return np.fromiter(map(len, tool.multi_compress_to_buffer(z.BufferWithSegments(self.data, spans.tobytes()), threads=1)), np.int64, len(self))
+
+    def dictionary(self, size: int, words: int, segment: int, key: int) -> bytes:
+        """Trained by zstandard; where the windows are too few for that, the windows themselves, as far as they fit.
+
+        Each different window counts once, in the order of a hash: the trainer stops at a
+        stretch that brings nothing new, as a long text that repeats itself would be.
+        """
+        texts = sorted({self.data[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)}, key=lambda x: (zlib.crc32(x), x))
+        try:
+            return z.train_dictionary(size, [x for x in texts if len(x) >= 8], k=segment, d=key).as_bytes()
+        except (z.ZstdError, ValueError):
+            return b"".join(texts)[:size]
+
+
+def _tool(body: bytes) -> z.ZstdCompressor:
+    p = z.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=len(body), format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    d = z.ZstdCompressionDict(body, dict_type=z.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=p)
+    return z.ZstdCompressor(dict_data=d, compression_params=p)
+
+
+def _dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary.
+
+    A round's training windows are chosen by dictionaries that were trained on the texts of
+    the other half, so that no window is chosen for what it alone repeats.
+    """
+    plain, marked = _prepared(ordinary), _prepared(toxic)
+    long, short, own = _Windows.of(*plain, ORDINARY[1]), _Windows.of(*plain, TOXIC[1]), _Windows.of(*marked, TOXIC[1])
+    base = long.dictionary(*ORDINARY)
+    chosen = np.ones(len(own), dtype=bool)
+    halves = []
+    for half in (0, 1):
+        other = long.some(long.doc % 2 != half).dictionary(*ORDINARY)
+        tool, mine, rival = _tool(other), own.some(own.doc % 2 == half), short.some(short.doc % 2 == half)
+        halves.append((other, mine, mine.sizes(tool), rival, rival.sizes(tool)))
+    for _ in range(ROUNDS - 1):
+        after = np.zeros(len(own), dtype=bool)
+        for half, (other, mine, mine_sizes, rival, rival_sizes) in enumerate(halves):
+            tool = _tool(own.some(chosen & (own.doc % 2 != half)).dictionary(*TOXIC) + other)
+            usual = rival_sizes - rival.sizes(tool)
+            after[own.doc % 2 == half] = mine_sizes - mine.sizes(tool) > (np.quantile(usual, BEYOND) if len(usual) else 0)
+        if after.sum() < FEWEST:
+            break
+        chosen = after
+    return base, own.some(chosen).dictionary(*TOXIC)
 
 
 @dataclass
@@ -102,36 +141,19 @@ class Model:
     prior: float
 
     def compressors(self) -> list[z.ZstdCompressor]:
-        out = []
-        for body in (self.toxic, self.ordinary):
-            p = z.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=len(body), format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-            d = z.ZstdCompressionDict(body, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=p)
-            out.append(z.ZstdCompressor(dict_data=d, compression_params=p))
-        return out
+        return [_tool(self.toxic + self.ordinary), _tool(self.ordinary)]
 
     def features(self, data: np.ndarray, offs: np.ndarray, tools: list[z.ZstdCompressor]) -> np.ndarray:
         """Features of each text; those of texts without words are 0."""
         n = len(offs) - 1
-        starts, ends, at = T.spans(data, offs, T.SPACED)
-        raw = data.tobytes()
         out = []
         for size in WINDOWS:
-            words = np.diff(at)
-            many = -(-words // size)
-            k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            doc = np.repeat(np.arange(n), many)
-            a = at[:-1][doc] + k * size
-            b = np.minimum(a + size, at[1:][doc]) - 1
-            if not len(a):
-                out += [np.zeros(n)] * 5
-                continue
-            span = np.stack([starts[a], ends[b] - starts[a]], axis=1).astype(np.uint64)
-            bundle = z.BufferWithSegments(raw, span.tobytes())
-            sizes = [np.fromiter(map(len, t.multi_compress_to_buffer(bundle, threads=1)), np.int64, len(a)) for t in tools]
-            gain = (sizes[1] - sizes[0]).astype(float)
-            order = np.lexsort((-gain, doc))
-            gain, doc = gain[order], doc[order]
+            w = _Windows.of(data, offs, size)
+            gain = (w.sizes(tools[1]) - w.sizes(tools[0])).astype(float)
+            order = np.lexsort((-gain, w.doc))
+            gain, doc = gain[order], w.doc[order]
+            many = np.bincount(doc, minlength=n)
+            k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
             many_f = np.maximum(many, 1)
             for top in (1, 3, 6):
                 out.append(np.bincount(doc, np.where(k < top, gain, 0), n) / top)
@@ -185,20 +207,10 @@ def train(rows: list[tuple[int, bytes, int]], shares: tuple[float, float]) -> Mo
     prior = (n[1] * shares[1] + 0.1) / (n[0] * shares[0] + n[1] * shares[1] + 1)
     own, rest = [r for r in rows if r[0] % 2], [r for r in rows if not r[0] % 2]
     none = np.zeros(0)
-    if min(n) < 8:
+    if min(n) < FEWEST:
         return Model(b"", b"", none, none, none, prior)
-    texts = [[r[2] for r in own if r[3] == y] for y in (0, 1)]
-    space, size, base = [], 0, b""
-    for x in sorted(texts[0], key=zlib.crc32):
-        words = x.lower().split()[:12]
-        space.append(b" ".join(words))
-        size += len(space[-1]) + 1
-        if size >= BASE_BYTES:
-            break
-    base = b" ".join(space)
-    toxic = b"".join(b" " + x for x in reversed(_marks(texts[1], texts[0])))
-    ordinary = b"".join(b" " + x for x in reversed(_marks(texts[0], texts[1])))[-max(len(toxic), 1) :]
-    model = Model(toxic + b" " + base, ordinary + b" " + base, none, none, none, prior)
+    ordinary, toxic = _dictionaries(*([r[2] for r in own if r[3] == y] for y in (0, 1)))
+    model = Model(toxic, ordinary, none, none, none, prior)
     f = model.features(*_prepared([r[2] for r in rest]), model.compressors())
     y = np.array([r[3] for r in rest], dtype=float)
     model.center, model.scale = f.mean(axis=0), f.std(axis=0) + 1e-9
@@ -215,39 +227,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """Fit on the labelled documents that are not held out.
 
     Where a document has several labels it is toxic if one of them says so; null labels and
-    ids do not count, nor do labels without a document.
+    ids do not count, nor do labels without a document. Of rows that share an id, the text
+    with the least hash is the one that counts.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(crc_mod("doc_id", FOLDS) != HELD_OUT)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    there = known.join(texts.where("text is not null and length(text) > 0").select("doc_id").distinct(), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and length(text) > 0")
+    told = F.struct(F.xxhash64("text").alias("name"), F.octet_length("text").alias("size"))
+    # Ids, lengths and hashes only: texts of the chosen rows are fetched by a second pass.
+    there = written(texts.select("doc_id", told.alias("told")).groupBy("doc_id").agg(F.min("told").alias("told")).join(known, "doc_id").select("doc_id", "toxic", "told.name", "told.size"))
     counts = {r["toxic"]: r["n"] for r in there.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    picked = []
+    chosen: dict[int, tuple[int, int]] = {}
     for y in (0, 1):
-        picked += [(r["doc_id"], y) for r in there.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id").collect()]
-    if not picked:
+        left = SAMPLE_BYTES
+        own = there.where((F.col("toxic") == y) & (F.col("size") <= ROW_BYTES)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+        for r in own.select("doc_id", "name", "size").collect():  # sample_rows at most
+            if r["size"] <= left:
+                left -= r["size"]
+                chosen[r["doc_id"]] = (r["name"], y)
+    if not chosen:
         return train([], (1.0, 1.0))
-    chosen = dict(picked)
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(k,) for k in chosen], "doc_id long")  # at most 2 * sample_rows ids
-    size = F.sum(F.octet_length("text")).over(_in_order())
-    found = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("so_far", size).where(F.col("so_far") <= SAMPLE_BYTES)
-    rows = [(r["doc_id"], r["text"].encode(), chosen[r["doc_id"]]) for r in found.select("doc_id", "text").collect()]
+    ids = docs.sparkSession.createDataFrame([(k, name) for k, (name, _) in chosen.items()], "doc_id long, name long")  # at most 2 * sample_rows ids
+    found = texts.join(F.broadcast(ids), "doc_id").where(F.xxhash64("text") == F.col("name")).select("doc_id", "text")
+    # Copies under one id are alike, but for texts of equal hashes: the greatest of them.
+    held = dict(sorted((r["doc_id"], r["text"].encode()) for r in found.distinct().collect()))
+    rows = [(k, x, chosen[k][1]) for k, x in held.items()]
     got = [max(1, sum(r[2] == y for r in rows)) for y in (0, 1)]
     model = train(rows, (counts.get(0, 0) / got[0], counts.get(1, 0) / got[1]))
     T.trim()
     return model
 
 
-def _in_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs, with SCORE (0 to 1) behind them; every window of each text counts."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of some 14 kB
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of half a megabyte at most
     schema = docs.drop(SCORE).withColumn(SCORE, F.lit(0.0)).schema
     names = schema.names
 
@@ -271,7 +284,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """Score every document: doc_id, held_out, score, predicted.
 
     docs: doc_id long, text string; labels: doc_id long, toxic 0/1. Null and empty texts get
-    the score of a text without windows; with fewer than 8 labelled texts of either label
+    the score of a text without windows; with fewer than FEWEST labelled texts of either label
     all get the share of toxic ones, 0.1 without labels. Rows with a null doc_id go; repeated rows are scored each.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")

@@ -428,15 +428,70 @@ def test_licenses(spark, docs):
     assert license_scan(docs).count() == docs.count()
 
 
-def test_license_windows_find_every_place():
+def licenses_brute(text, templates):
+    """(license, start, stop, containment) from plain sets of every window of every template."""
+    w, found = ALNUM.findall(low(text)), []
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    for name, texts in templates.items():
+        for t in texts:
+            words = ALNUM.findall(low(t))
+            own = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+            places = len(words) - 4
+            block = 1
+            while 2 * block <= places // 4:
+                block *= 2
+            width = (math.ceil((places - 1) / block) + 1) * block
+            for at in range(0, len(grams), block):
+                spots = [k for k in range(at, min(at + width, len(grams))) if grams[k] in own]
+                share = len({grams[k] for k in spots}) / len(own)
+                if len({grams[k] for k in spots}) * 100 >= 80 * len(own):
+                    found.append((name, spots[0], spots[-1] + 5, share))
+    kept = []
+    for name, start, stop, share in sorted(found, key=lambda x: (x[0], x[1], -x[3], x[2])):
+        if kept and kept[-1][0] == name and start <= kept[-1][2]:
+            if share > kept[-1][3]:
+                kept[-1] = (name, start, stop, share)
+            continue
+        kept.append((name, start, stop, share))
+    return kept
+
+
+def test_licenses_against_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = []
+    for k in range(60):
+        w = [rng.choice(["the", "of", "software", "license", "and", f"w{rng.randrange(50)}"]) for _ in range(rng.choice([0, 3, 30, 200]))]
+        for name in rng.sample(sorted(TEMPLATES), rng.randrange(3)):
+            t = rng.choice(TEMPLATES[name]).split()
+            for _ in range(rng.choice([0, 0, 1, 3, len(t) // 8])):
+                t[rng.randrange(len(t))] = "changed"
+            at = rng.randrange(len(w) + 1)
+            w = w[:at] + t * rng.choice([1, 1, 2]) + w[at:]
+        texts.append((k % 50, " ".join(w)))
+    texts += [(90, None), (91, " \n"), (92, "x y " * 300_000 + TEMPLATES["MIT"][1])]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("matches", F.lit("clash")).repartition(4)
+    key = lambda r: (r[0], str(r[1]))
+    got = sorted(((r.doc_id, [tuple(m) for m in r.matches], r.licenses) for r in license_scan(df).collect()), key=key)
+    want = sorted(((d, m, sorted({x[0] for x in m})) for d, t in texts for m in [licenses_brute(t, TEMPLATES)]), key=key)
+    assert got == want and sum(bool(m) for _, m, _ in want) > 20
+
+
+def test_license_bands_retrieve():
+    """Without the bands' tables nothing is retrieved, and no template may be missed by more than the stated chance."""
     import pyarrow as pa
 
+    from pointloom.llm import licenses
     from pointloom.llm import text as T
 
     tables = build({"A": ["one two three four five six seven eight nine"]})
+    assert all(t.miss <= licenses.MISS for t in build(TEMPLATES).templates)
     for k in range(40):
         w = T.words(*T.buffers(pa.array(["pad " * k + "one two three four five six seven eight nine" + " end" * (40 - k)])), T.ALNUM, lower=True)
-        assert matches(w.hashes, w.offsets, tables)
+        assert matches(w.hashes, w.others, w.offsets, tables)
+    tables.shapes = {}
+    assert not matches(w.hashes, w.others, w.offsets, tables)
 
 
 def test_empty_tables(spark, docs):

@@ -46,3 +46,22 @@ def test_too_few_labels(labelled, spark):
     docs, labels = labelled
     assert {r.score for r in toxicity(docs, labels.limit(0)).collect()} == {0.1}
     assert toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_one_long_text_and_repeated_ids_change_nothing(labelled, spark):
+    """A labelled text beyond the sample's bounds is left out alone; of rows that share an id always the same counts."""
+    from pyspark.sql import functions as F
+
+    docs, labels = labelled
+    model = fit(docs, labels)
+    assert len(model.weights) and len(model.ordinary) > len(model.toxic) > 0
+    ids = [k for k in range(7000, 7012)]
+    long = spark.range(7000, 7012).select(F.col("id").alias("doc_id"), F.expr("repeat('pluxed word ', 200000)").alias("text"))
+    more = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic int")
+    huge = long.limit(1).select(F.lit(6999).cast("long").alias("doc_id"), F.expr("repeat(text, 15)").alias("text"))  # 36 MB
+    got = fit(docs.unionByName(long).unionByName(huge), labels.unionByName(more).unionByName(spark.createDataFrame([(6999, 1)], "doc_id long, toxic int")))
+    assert (got.toxic, got.ordinary) == (model.toxic, model.ordinary)
+    twice = docs.unionByName(docs.where("doc_id < 300").withColumn("text", F.concat("text", F.lit(" other"))))
+    one, two = fit(twice.repartition(3), labels), fit(twice.orderBy(F.desc("doc_id")).repartition(7), labels)
+    assert (one.toxic, one.ordinary, one.weights.tolist()) == (two.toxic, two.ordinary, two.weights.tolist())
+    assert toxicity(twice, labels).groupBy("doc_id").count().where("count > 1").count() == 300
