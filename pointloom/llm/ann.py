@@ -2,11 +2,13 @@
 
 A table rotates unit vectors by three rounds of random signs and a fast Hadamard transform
 and files each under the signed axis nearest to it. A query looks under several axes of
-each table, the nearest first; all that it meets there is ranked by exact cosines. A
-bucket is cut into pieces of bounded size, so that one with a third of all rows is shared
-out too; a piece returns the best few of each query, never pairs. Queries that meet fewer
-than k rows look again under more axes, in the end under all axes of one table, where every
-row is.
+each table, the nearest first. What is filed and asked are one-byte codes of the vectors with
+a bound of their error, so that a vector is not sent whole once for each table. A bucket is
+cut into pieces of bounded size, so that one with a third of all rows is shared out too; for
+each query a piece returns the rows that can be among the best k by their bounds, never all
+pairs. Those that still can when all pieces are seen are ranked by exact cosines of the
+original vectors. Queries that meet fewer than k rows look again under more axes, in the end
+under all axes of one table, where every row is.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
 
-TABLES, PROBES = 16, 8
+TABLES, PROBES = 8, 10
 PIECE_ROWS = 4096
 
 
@@ -52,8 +54,22 @@ def axes(y: np.ndarray, many: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :many]
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+def encoded(unit: np.ndarray) -> list[bytes]:
+    """Unit vectors as steps of one byte, behind the size of a step and a bound of the error's length."""
+    step = np.maximum(np.abs(unit).max(axis=1) / 127, 1e-30).astype(np.float32)
+    code = np.clip(np.rint(unit / step[:, None].astype(np.float64)), -127, 127).astype(np.int8)
+    off = np.sqrt(((unit - code * step[:, None].astype(np.float64)) ** 2).sum(axis=1))
+    # Rounded up, with room for the rounding of sums.
+    error = np.nextafter((off + 1e-6).astype(np.float32), np.float32(np.inf))
+    head = np.stack([step, error], axis=1).astype("<f4")
+    return [h.tobytes() + c.tobytes() for h, c in zip(head, code, strict=True)]
+
+
+def decoded(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Approximate unit vectors and the bounds of their errors."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 + dim)
+    head = np.ascontiguousarray(raw[:, :8]).view("<f4")
+    return np.ascontiguousarray(raw[:, 8:]).view(np.int8) * head[:, :1].astype(np.float64), head[:, 1].astype(np.float64)
 
 
 def _hashed(signs: np.ndarray, dim: int, many: int):
@@ -63,44 +79,66 @@ def _hashed(signs: np.ndarray, dim: int, many: int):
                 part = b.slice(at, 1024)
                 ids = part.column("vec_id").to_numpy(zero_copy_only=False)
                 x = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                x = x / np.abs(x).max(axis=1)[:, None]  # so that squares neither vanish nor overflow
                 unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                body = np.array([r.tobytes() for r in x], dtype=object)
+                code = np.array([*encoded(unit), None], dtype=object)[:-1]
                 for t, s in enumerate(signs):
                     found = axes(rotate(unit, s), many)
                     n = found.shape[1]
-                    yield pa.record_batch([pa.array(np.repeat(ids, n), pa.int64()), pa.array(np.full(len(ids) * n, t, np.int32)), pa.array(found.reshape(-1).astype(np.int32)), pa.array(np.repeat(body, n), pa.binary())], names=["vec_id", "t", "axis", "vec"])
+                    yield pa.record_batch([pa.array(np.repeat(ids, n), pa.int64()), pa.array(np.full(len(ids) * n, t, np.int32)), pa.array(found.reshape(-1).astype(np.int32)), pa.array(np.repeat(code, n), pa.binary())], names=["vec_id", "t", "axis", "code"])
 
     return run
 
 
-def _best(dim: int, k: int):
+def _possible(dim: int, k: int):
+    """For each query of a piece, the rows whose cosine can be among its k largest there, with bounds."""
+
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        parts = [out]
+        parts = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]]
         if left.num_rows and right.num_rows:
             qid, rid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
             order = np.argsort(rid, kind="stable")
-            q, r = _matrix(left["vec"].combine_chunks(), dim), _matrix(right["vec"].combine_chunks(), dim)[order]
-            rid = rid[order]
-            norm = np.sqrt((r * r).sum(axis=1))
+            (q, q_off), (r, r_off) = decoded(left["code"], dim), decoded(right["code"], dim)
+            r, r_off, rid = r[order], r_off[order], rid[order]
+            first = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
             for at in range(0, len(q), 128):
                 own = q[at : at + 128]
-                score = np.einsum("qd,rd->qr", own, r) / (np.sqrt((own * own).sum(axis=1))[:, None] * norm[None])
-                score[qid[at : at + 128, None] == rid[None]] = -np.inf
-                # Nearest first, ties to the smaller id; rows are in order of ids.
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(score, top, axis=1)
-                fine = np.isfinite(got)
-                parts.append([np.repeat(qid[at : at + 128], fine.sum(axis=1)), rid[top][fine], got[fine]])
-        a, b, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+                score = np.einsum("qd,rd->qr", own, r)
+                # |uv - u'v'| <= |u - u'| + |v - v'| + |u - u'| |v - v'| for unit vectors u, v.
+                a, b = q_off[at : at + 128, None], r_off[None]
+                off = a + b + a * b
+                low, high = score - off, score + off
+                if len(first) < len(rid):  # rows that share an id count once
+                    low, high = np.maximum.reduceat(low, first, axis=1), np.maximum.reduceat(high, first, axis=1)
+                ids = rid[first]
+                same = qid[at : at + 128, None] == ids[None]
+                low, high = np.where(same, -np.inf, low), np.where(same, -np.inf, high)
+                least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), -np.inf)
+                row, col = np.nonzero((high >= least[:, None]) & ~same)
+                parts.append([qid[at : at + 128][row], ids[col], low[row, col], high[row, col]])
+        a, b, c, d = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "low": pa.array(c, pa.float64()), "high": pa.array(d, pa.float64())})
 
     return run
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two arrays of doubles; each is scaled by its largest component first."""
+
+    def scaled(x: Column) -> Column:
+        most = F.array_max(F.transform(x, F.abs))
+        return F.transform(x, lambda v: v / most)
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+
+    a, b = scaled(a), scaled(b)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def _ranked(rows: DataFrame, queries: DataFrame, dim: int, k: int, signs: np.ndarray, probes: int, piece_rows: int) -> DataFrame:
     """The best k of the rows that each query meets under so many axes of each table."""
-    schema = "vec_id long, t int, axis int, vec binary"
+    schema = "vec_id long, t int, axis int, code binary"
     filed = rows.mapInArrow(_hashed(signs, dim, 1), schema)
     asked = queries.mapInArrow(_hashed(signs, dim, probes), schema)
     # Tables times axes rows, whatever the input's size.
@@ -108,10 +146,16 @@ def _ranked(rows: DataFrame, queries: DataFrame, dim: int, k: int, signs: np.nda
     filed = filed.join(sizes, ["t", "axis"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).drop("pieces")
     asked = asked.join(sizes, ["t", "axis"]).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
     keys = ["t", "axis", "piece"]
-    found = asked.groupBy(keys).cogroup(filed.groupBy(keys)).applyInArrow(_best(dim, k), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = asked.groupBy(keys).cogroup(filed.groupBy(keys)).applyInArrow(_possible(dim, k), "query_id long, vec_id long, low double, high double")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    # Whoever is above the k-th lower bound may be among the best.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
+    sure = F.min(F.when(F.col("place") <= k, F.col("low"))).over(Window.partitionBy("query_id"))
+    left = once.withColumn("place", place).withColumn("sure", sure).where(F.col("high") >= F.col("sure")).select("query_id", "vec_id")
+    exact = left.join(rows.withColumnRenamed("vec", "own"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("asked")), "query_id")
+    best = exact.select("query_id", "vec_id", cosine(F.col("asked"), F.col("own")).alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, probes: int = PROBES, piece_rows: int = PIECE_ROWS) -> DataFrame:
