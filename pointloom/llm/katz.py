@@ -8,14 +8,15 @@ counts, by order. Where they leave less than half a count, half a count is left.
 
 Everything is counted over the whole training part. First the chunks of documents send the
 bytes of their distinct words to buckets (blocks.py), which give each different word a
-number of its own, so that n-grams are exact tuples of numbers. Then, order by order, the
-chunks send their distinct n-grams to the buckets of their histories. The buckets write the
-tables, partitioned by the chunks that need them: for each n-gram its count, for each
-history its count and the numbers of its continuations by small counts of their own and of
-the order below; these whole numbers give the weights in double precision. An n-gram is
-sent only where its history and its lower order occur in training. A history with very many
-occurrences is shared out over several buckets, whose numbers are added up. Scoring reads a
-chunk with its parts of the tables and goes down the recursion for each token.
+number of its own; the chunks are written again as numbers, so that n-grams are exact
+tuples. Then, order by order, the chunks send their distinct n-grams to the buckets of their
+histories. The buckets write the tables, partitioned by the chunks that need them: for each
+n-gram its count, for each history its count and the numbers of its continuations by small
+counts of their own and of the order below; these whole numbers give the weights in double
+precision. An n-gram is sent only where its history and its lower order occur in training.
+A history that no other chunk has is not sent: its chunk counts for itself. One with very
+many occurrences is shared out over several buckets, whose numbers are added up. Scoring
+reads a chunk with its parts of the tables and goes down the recursion for each token.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..plans.lineage import release, written
+from ..plans.lineage import discard, release, written
 from . import blocks as B
 from . import text as T
 from .text import U64
@@ -137,12 +138,13 @@ def _answer_words(n_buckets: int):
             at, place = distinct(*T.names(np.concatenate([x["text"] for _, x in asked]), to - size, to))
             total = np.zeros(len(at), np.int64)
             np.add.at(total, place, np.concatenate([x["count"] for _, x in asked]))
+            alone = np.bincount(place, minlength=len(at)) == 1
             number = np.empty(len(at), np.int64)
             number[np.argsort(-total, kind="stable")] = np.arange(len(at)) * n_buckets + bucket + 2
             begin = 0
             for c, x in asked:
                 own = place[begin : begin + len(x["size"])]
-                out.append((c, "counts", bucket, B.dump(number=B.slim(number[own]), count=B.slim(total[own]))))
+                out.append((c, "counts", bucket, B.dump(number=B.slim(number[own]), count=B.slim(total[own]), alone=alone[own])))
                 begin += len(own)
         return B.rows([*out, (-1, "stats", bucket, B.dump(stats=np.append(_summed(total), ends)))])
 
@@ -159,57 +161,92 @@ def _told(found: dict, kind: str, name: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *[B.load(x)[name].astype(np.int64) for _, x in sorted(found.get(kind, {}).items())]])
 
 
+def _encode(ends: int):
+    """A chunk as numbers: its words in order of their numbers, with their counts, and the tokens by place among them."""
+
+    def run(chunk: int, found: dict) -> pa.RecordBatch:
+        c = _Chunk(found["text"][-1])
+        number, count = np.append(_told(found, "counts", "number"), 1), np.append(_told(found, "counts", "count"), ends)
+        alone = np.append(_told(found, "counts", "alone"), 0).astype(bool)
+        order = np.argsort(number)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        body = B.dump(ids=c.ids, held=c.held, lengths=B.slim(np.diff(c.at)), sorted_number=number[order], count=B.slim(count[order]), alone=alone[order], tokens=B.slim(rank[c.tokens]))
+        return B.rows([(chunk, "state", -1, body)])
+
+    return run
+
+
+class _State:
+    """A chunk as numbers."""
+
+    def __init__(self, body: bytes):
+        x = B.load(body)
+        self.ids, self.held, self.number, self.count, self.alone = x["ids"], x["held"], x["sorted_number"], x["count"].astype(np.int64), x["alone"]
+        self.at = np.concatenate([[0], np.cumsum(x["lengths"].astype(np.int64))])
+        self.tokens = x["tokens"].astype(np.int64)
+        self.train = ~np.repeat(self.held, np.diff(self.at))
+        self.first = np.zeros(len(self.tokens), dtype=bool)
+        self.first[self.at[:-1][np.diff(self.at) > 0]] = True
+
+
 @dataclass
 class _Level:
     """A chunk's n-grams of one order, as the tables tell of them.
 
-    gram: each token's n-gram, history: each token's history, both as local numbers; count:
-    the n-grams' counts (0 for the last, which stands for all that training cannot have);
-    size: the histories' counts; own, low: their continuations by small counts of their own
-    and of the order below, at 0 the sum of the larger counts.
+    gram: each token's n-gram by local number, the last of which stands for all that training
+    cannot have; count: their counts; alone: whether no other chunk has them; columns: their
+    words. history: each token's history by local number; size: the histories' counts; own,
+    low: their continuations by small counts of their own and of the order below, at 0 the
+    sum of the larger counts.
     """
 
     gram: np.ndarray
-    history: np.ndarray
     count: np.ndarray
+    alone: np.ndarray
+    columns: list[np.ndarray]
+    history: np.ndarray | None = None
     size: np.ndarray | None = None
-    own: list | None = None
-    low: list | None = None
+    own: list[np.ndarray] | None = None
+    low: list[np.ndarray] | None = None
 
 
-def _different(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different values in order, a place where each stands, and the place of each among them."""
-    key, place = np.unique(x, return_inverse=True)
-    at = np.empty(len(key), np.int64)
-    at[place] = np.arange(len(x))
-    return key, at, place
+def _numbers(of: np.ndarray, total: np.ndarray, low: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Occurrences of n histories, and their continuations by small counts: their own, and of the order below."""
+    seen = total > 0
+    told = {"size": np.bincount(of, total, n).astype(np.int64)}
+    for name, x in (("t", total), ("l", low)):
+        told[f"{name}0"] = np.bincount(of[seen & (x > SMALL)], x[seen & (x > SMALL)], n).astype(np.int64)
+        for r in range(1, SMALL + 1):
+            told[f"{name}{r}"] = np.bincount(of[seen & (x == r)], minlength=n)
+    return told
 
 
 class _Grams:
-    """What a chunk asks about its n-grams of order k: histories by bucket, and their n-grams."""
-
-    def __init__(self, c: _Chunk, k: int, number: np.ndarray, below: _Level, ends: int, n_buckets: int, share: int):
-        """below: of order k - 1, whose n-grams are the histories here and what these n-grams back off to."""
-        n = len(c.tokens)
-        place = np.arange(n) - np.repeat(c.at[:-1], np.diff(c.at))
-        words = [np.where(place >= j, c.tokens[np.maximum(np.arange(n) - j, 0)], c.words) for j in range(k - 1, 0, -1)]
-        key, at, self.history = _different(_packed(words, c.words + 1))
-        ids = np.append(number, 0)
-        self.columns = [ids[x[at]] for x in words]
-        # A history is the n-gram that ends at the token before; the one of starts alone is as frequent as the ends.
-        counts = np.where(place[at] > 0, below.count[below.gram[at - 1]], ends)
-        self.size, asked = len(key), counts > 0
-        order = np.argsort(number)
-        rank = np.empty(c.words, np.int64)
-        rank[order] = np.arange(c.words)
-        self.live = asked[self.history] & (below.count[below.gram] > 0)
-        pair, at, place = _different(self.history[self.live] * c.words + rank[c.tokens[self.live]])
+    """A chunk's n-grams of the order above a level: those of its own, and what it asks, by bucket of the history."""
+
+    def __init__(self, c: _State, below: _Level, ends: int, n_buckets: int, share: int):
+        n, words = len(c.tokens), len(c.number)
+        # A history is the n-gram of the order below that ends at the token before. The last
+        # one there stands for those that are not known; the one of starts alone comes after.
+        known = len(below.count)
+        self.history = np.append(known, below.gram[:-1]) if n else below.gram
+        self.history[c.first] = known
+        self.size = known + 1
+        counts, alone = np.append(below.count, ends), np.append(below.alone, False)
+        self.columns = [np.append(x, 0) for x in below.columns]
+        live = (counts[self.history] > 0) & (below.count[below.gram] > 0)
+        pair, place = np.unique(self.history[live] * words + c.tokens[live], return_inverse=True)
+        at = np.empty(len(pair), np.int64)
+        at[place] = np.flatnonzero(live)
         self.gram = np.full(n, len(pair))
-        self.gram[self.live] = place
-        self.of, self.word = pair // c.words, number[order[pair % c.words]]
-        self.count = np.bincount(place[c.train[self.live]], minlength=len(pair)).astype(np.int64)
-        self.low = below.count[below.gram[self.live][at]]
-        self._deal(np.where(asked, -(-counts // share), 0), n_buckets)
+        self.gram[live] = place
+        self.of, word = pair // words, pair % words
+        self.word = c.number[word]
+        self.count = np.bincount(place[c.train[live]], minlength=len(pair)).astype(np.int64)
+        self.low = below.count[below.gram[at]]
+        self.alone = alone[self.of] if len(pair) else np.zeros(0, bool)
+        self._deal(np.where((counts > 0) & ~alone, -(-counts // share), 0), n_buckets)
 
     def _deal(self, shares: np.ndarray, n_buckets: int) -> None:
         """Histories, or their shares, in order of buckets, and the n-grams in order of those.
@@ -223,18 +260,21 @@ class _Grams:
         for x in self.columns:
             h = T.mix(h ^ x[self.unit_of].astype(U64), 82)
         bucket = (h % U64(n_buckets)).astype(np.int64)
-        order = np.lexsort((self.part, *[x[self.unit_of] for x in reversed(self.columns)], bucket))
+        # Histories are in order of their words already, but for the words' first one.
+        order = np.lexsort((self.unit_of, self.columns[0][self.unit_of], bucket))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.unit_of, self.part, bucket = self.unit_of[order], self.part[order], bucket[order]
         self.cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        part = (T.mix(self.word, 83) % np.maximum(shares[self.of], 1).astype(U64)).astype(np.int64)
-        unit = place[base[self.of] + part] if len(self.of) else self.of
-        self.order = np.argsort(unit, kind="stable")
-        self.to = np.searchsorted(unit[self.order], np.arange(len(self.unit_of) + 1))
-
-    def blocks(self, chunk: int) -> pa.RecordBatch:
-        out = []
+        asked = np.flatnonzero(~self.alone)
+        part = (T.mix(self.word[asked], 83) % np.maximum(shares[self.of[asked]], 1).astype(U64)).astype(np.int64)
+        unit = place[base[self.of[asked]] + part]
+        by = np.argsort(unit, kind="stable")
+        self.order = asked[by]
+        self.to = np.searchsorted(unit[by], np.arange(len(self.unit_of) + 1))
+
+    def blocks(self, chunk: int, n_buckets: int) -> pa.RecordBatch:
+        out = [(chunk, "alone", chunk % n_buckets, B.dump(stats=_summed(self.count[self.alone])))]
         many = np.diff(self.to)
         for b, (i, j) in enumerate(zip(self.cut, self.cut[1:], strict=False)):
             if j > i:
@@ -246,35 +286,29 @@ class _Grams:
     def answered(self, found: dict, kind: str) -> _Level:
         told = [B.load(x) for _, x in sorted(found.get(kind, {}).items())]
         take = lambda name: np.concatenate([np.zeros(0, np.int64), *[x[name].astype(np.int64) for x in told]])
-        count = np.zeros(len(self.of) + 1, np.int64)
-        count[self.order] = take("count")
-        added = lambda name: np.bincount(self.unit_of, take(name), self.size)
-        return _Level(self.gram, self.history, count, added("size"), [added(f"t{r}") for r in range(SMALL + 1)], [added(f"l{r}") for r in range(SMALL + 1)])
-
+        count, alone = np.append(self.count, 0), np.append(self.alone, False)
+        count[self.order], alone[self.order] = take("count"), take("alone").astype(bool)
+        mine = _numbers(self.of[self.alone], self.count[self.alone], self.low[self.alone], self.size)
+        added = lambda name: mine[name] + np.bincount(self.unit_of, take(name), self.size).astype(np.int64)
+        columns = [np.append(x[self.of], 0) for x in self.columns] + [np.append(self.word, 0)]
+        return _Level(self.gram, count, alone, columns, self.history, added("size"), *([added(f"{x}{r}") for r in range(SMALL + 1)] for x in "tl"))
 
-def _packed(columns: list[np.ndarray], size: int) -> np.ndarray:
-    """One local number for each different tuple; equal tuples get the same."""
-    out = columns[0].astype(np.int64)
-    for x in columns[1:]:
-        out = np.unique(out, return_inverse=True)[1] * size + x
-    return out
 
-
-def _grams(c: _Chunk, found: dict, order: int, ends: int, n_buckets: int, share: int) -> tuple[list[_Level], _Grams]:
+def _grams(c: _State, found: dict, order: int, ends: int, n_buckets: int, share: int) -> tuple[list[_Level], _Grams]:
     """The levels whose tables are there, and what to ask of the order."""
-    number = np.append(_told(found, "counts", "number"), 1)
-    count = np.append(_told(found, "counts", "count"), ends)
-    levels = [_Level(c.tokens, c.tokens, count)]
+    none = np.zeros(1, np.int64)
+    levels = [_Level(c.tokens, np.append(c.count, 0), np.append(c.alone, False), [np.append(c.number, none)])]
     for k in range(2, order + 1):
-        asked = _Grams(c, k, number, levels[-1], ends, n_buckets, share)
+        asked = _Grams(c, levels[-1], ends, n_buckets, share)
         if k < order or f"model{k}" in found:
             levels.append(asked.answered(found, f"model{k}"))
     return levels, asked
 
 
 def _ask_grams(order: int, ends: int, n_buckets: int, share: int):
-    def run(chunk: int, found: dict) -> pa.RecordBatch:
-        return _grams(_Chunk(found["text"][-1]), found, order, ends, n_buckets, share)[1].blocks(chunk)
+    def run(chunk: int, found: dict | bytes) -> pa.RecordBatch:
+        found = found if isinstance(found, dict) else {"state": {-1: found}}
+        return _grams(_State(found["state"][-1]), found, order, ends, n_buckets, share)[1].blocks(chunk, n_buckets)
 
     return run
 
@@ -283,44 +317,44 @@ def _answer_grams(order: int):
     kind = f"model{order}"
 
     def run(table: pa.Table) -> pa.RecordBatch:
-        asked = [B.load(x) for x in table["body"].to_pylist()]
-        columns = [f"{'sorted_' if n == 0 else ''}h{n}" for n in range(order - 1)] + ["part"]
-        units = [np.concatenate([x[k].astype(np.int64) for x in asked]) for k in columns]
-        many, word, count, low = (np.concatenate([x[k].astype(np.int64) for x in asked]) for k in ("many", "word", "count", "low"))
-        by = np.lexsort(units[::-1])
-        new = np.append(True, np.any([x[by][1:] != x[by][:-1] for x in units], axis=0))
-        unit = np.empty(len(by), np.int64)
-        unit[by] = np.cumsum(new) - 1
-        n = int(new.sum())
-        of = np.repeat(unit, many)
-        by = np.lexsort((word, of))
-        new = np.append(True, (of[by][1:] != of[by][:-1]) | (word[by][1:] != word[by][:-1])) if len(by) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        place = np.empty(len(by), np.int64)
-        place[by] = np.cumsum(new) - 1
-        total = np.add.reduceat(count[by], at) if len(at) else count
-        of, low = of[by][at], low[by][at]
-        # A history's occurrences, and its continuations by small counts: their own, and of the order below.
-        seen = total > 0
-        told = {"size": np.bincount(of, total, n).astype(np.int64)}
-        for name, x in (("t", total), ("l", low)):
-            told[f"{name}0"] = np.bincount(of[seen & (x > SMALL)], x[seen & (x > SMALL)], n).astype(np.int64)
-            for r in range(1, SMALL + 1):
-                told[f"{name}{r}"] = np.bincount(of[seen & (x == r)], minlength=n)
-        out, begin, head = [], 0, 0
-        for c, b, x in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), asked, strict=True):
-            own = unit[head : head + len(x["many"])]
-            out.append((c, kind, b, B.dump(count=B.slim(total[place[begin : begin + len(x["word"])]]), **{k: B.slim(v[own]) for k, v in told.items()})))
-            head, begin = head + len(own), begin + len(x["word"])
-        return B.rows([*out, (-1, "stats", table["bucket"][0].as_py(), B.dump(stats=np.append(_summed(total), 0)))])
+        bucket = table["bucket"][0].as_py()
+        loaded = [(c, k, B.load(x)) for c, k, x in zip(*(table[k].to_pylist() for k in ("chunk", "kind", "body")), strict=True)]
+        stats = np.sum([np.zeros(SMALL + 4, np.int64), *[x["stats"] for _, k, x in loaded if k == "alone"]], axis=0)
+        asked = [(c, x) for c, k, x in loaded if k == "grams"]
+        out = []
+        if asked:
+            columns = [f"{'sorted_' if n == 0 else ''}h{n}" for n in range(order - 1)] + ["part"]
+            units = [np.concatenate([x[k].astype(np.int64) for _, x in asked]) for k in columns]
+            many, word, count, low = (np.concatenate([x[k].astype(np.int64) for _, x in asked]) for k in ("many", "word", "count", "low"))
+            by = np.lexsort(units[::-1])
+            new = np.append(True, np.any([x[by][1:] != x[by][:-1] for x in units], axis=0))
+            unit = np.empty(len(by), np.int64)
+            unit[by] = np.cumsum(new) - 1
+            n = int(new.sum())
+            of = np.repeat(unit, many)
+            by = np.lexsort((word, of))
+            new = np.append(True, (of[by][1:] != of[by][:-1]) | (word[by][1:] != word[by][:-1])) if len(by) else np.zeros(0, bool)
+            at = np.flatnonzero(new)
+            place = np.empty(len(by), np.int64)
+            place[by] = np.cumsum(new) - 1
+            total = np.add.reduceat(count[by], at) if len(at) else count
+            alone = np.diff(np.append(at, len(by))) == 1
+            told = _numbers(of[by][at], total, low[by][at], n)
+            stats = stats + _summed(total)
+            begin, head = 0, 0
+            for c, x in asked:
+                own = unit[head : head + len(x["many"])]
+                grams = place[begin : begin + len(x["word"])]
+                out.append((c, kind, bucket, B.dump(count=B.slim(total[grams]), alone=alone[grams], **{k: B.slim(v[own]) for k, v in told.items()})))
+                head, begin = head + len(own), begin + len(grams)
+        return B.rows([*out, (-1, "stats", bucket, B.dump(stats=np.append(stats, 0)))])
 
     return run
 
 
 def probabilities(levels: list[_Level], lower: Unigrams, d: list[np.ndarray]) -> np.ndarray:
     """Each token's probability, from order 1 upwards: what is not known at an order backs off."""
-    c = levels[0].count[levels[0].gram]
-    prob = lower(c)
+    prob = lower(levels[0].count[levels[0].gram])
     below, scale_below, own = lower.d, None, None
     for k, level in enumerate(levels[1:]):
         r = np.arange(1, SMALL + 1)
@@ -348,9 +382,9 @@ def _score(lower: Unigrams, d: list[np.ndarray], ends: int, n_buckets: int, shar
     base = np.log10(lower.n + 0.5 * (lower.types + 1))
 
     def run(chunk: int, found: dict) -> pa.RecordBatch:
-        c = _Chunk(found["text"][-1])
+        c = _State(found["state"][-1])
         levels, _ = _grams(c, found, len(d) + 1, ends, n_buckets, share)
-        count = levels[0].count[c.tokens]
+        count = c.count[c.tokens]
         n = np.diff(c.at)
         doc = np.repeat(np.arange(len(c.ids)), n)
         total = lambda x: np.bincount(doc, x, len(c.ids))
@@ -382,12 +416,16 @@ def katz_scores(docs: DataFrame, order: int = ORDER, share: int = SHARE) -> Data
     words = written(B.by_bucket(B.by_row(parts, _ask_words(n)), _answer_words(n)))
     *stats, ends = _stats(words).tolist()
     lower = Unigrams(np.array(stats) + _summed(np.array([ends])))
-    tables = [parts, words.where("kind = 'counts'")]
-    d: list[np.ndarray] = []
     release(spark)
+    tables = [written(B.by_chunk([parts, words.where("kind = 'counts'")], _encode(ends)))]
+    for x in (parts, words):  # the chunks are there as numbers
+        discard(x)
+    d: list[np.ndarray] = []
     for k in range(2, order + 1):
-        found = written(B.by_bucket(B.by_chunk(tables, _ask_grams(k, ends, n, share)), _answer_grams(k)))
+        release(spark)
+        ask = _ask_grams(k, ends, n, share)
+        found = written(B.by_bucket(B.by_row(tables[0], ask) if k == 2 else B.by_chunk(tables, ask), _answer_grams(k)))
         d.append(discounts(_stats(found)[2:-1]))
         tables.append(found.where(f"kind = 'model{k}'"))
-        release(spark)
+    release(spark)
     return B.by_chunk(tables, _score(lower, d, ends, n, share), RESULT)
