@@ -36,7 +36,7 @@ def positive(n: np.ndarray) -> np.ndarray:
     return -n if n[np.abs(n).argmax()] < 0 else n
 
 
-def search_plane(p: np.ndarray, threshold: float, iterations: int, confidence: float, seed: int = 20260911) -> np.ndarray | None:
+def search_plane(p: np.ndarray, threshold: float, iterations: int, confidence: float, seed: int = 4711) -> np.ndarray | None:
     """(nx, ny, nz, d) by random triples."""
     if len(p) < 3 or iterations <= 0:
         return None
@@ -66,7 +66,7 @@ def circles(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_circle(p: np.ndarray, threshold: float, iterations: int, low: float = 0.0, high: float = 0.0, confidence: float = 0.99, seed: int = 20260912) -> np.ndarray | None:
+def search_circle(p: np.ndarray, threshold: float, iterations: int, low: float = 0.0, high: float = 0.0, confidence: float = 0.99, seed: int = 4712) -> np.ndarray | None:
     """(cx, cy, r) by random triples; a limit of 0 is none."""
     if len(p) < 3 or iterations <= 0:
         return None
@@ -97,8 +97,12 @@ def kasa(p: np.ndarray) -> np.ndarray | None:
     return np.array([m[0] + a, m[1] + b, math.sqrt(a * a + b * b + (uu + vv) / len(p))])
 
 
-def robust_circle(p: np.ndarray, band: float = 0.005, rounds: int = 256, low: float = 0.02, high: float = 1.0, seed: int = 20260926):
-    """(circle, inliers, rms) of a trunk's slice: random triples, then three trims at two sigma."""
+#: A trim never takes points that lie this near to the circle.
+TRIM_FLOOR = 0.02
+
+
+def robust_circle(p: np.ndarray, band: float = 0.005, rounds: int = 256, low: float = 0.02, high: float = 1.0, seed: int = 4713):
+    """(circle, inliers, rms) of a trunk's slice: random triples, then three trims at two sigma, TRIM_FLOOR at least."""
     start = search_circle(p, band, rounds, low, high, 1 - 1e-9, seed)
     if start is None:
         return None
@@ -108,7 +112,7 @@ def robust_circle(p: np.ndarray, band: float = 0.005, rounds: int = 256, low: fl
         if fit is None:
             return None
         off = np.abs(np.hypot(own[:, 0] - fit[0], own[:, 1] - fit[1]) - fit[2])
-        keep = off <= 2 * math.sqrt((off * off).mean()) + 1e-12
+        keep = off <= max(TRIM_FLOOR, 2 * math.sqrt((off * off).mean()))
         if keep.all() or keep.sum() < 3:
             break
         own = own[keep]
@@ -132,7 +136,7 @@ def breast_height(p: np.ndarray) -> tuple[float, str, int, float]:
     return 0.0, "centroid", inliers, rms
 
 
-def search_axis(normals: np.ndarray, iterations: int = 256, least: float = 0.02, seed: int = 20260912) -> np.ndarray | None:
+def search_axis(normals: np.ndarray, iterations: int = 256, least: float = 0.02, seed: int = 4712) -> np.ndarray | None:
     """The direction that most normals are square to, by random pairs and a least-squares step."""
     if len(normals) < 2:
         return None
@@ -170,17 +174,21 @@ def basis(axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def align(a: np.ndarray, b: np.ndarray, scale: bool = False, weights: np.ndarray | None = None):
-    """(R, t, s) that brings a to b with least squares, by the largest eigenvector of Horn's matrix; None if undetermined."""
+    """(R, t, s) that brings a to b with least squares; None if undetermined."""
     if len(a) != len(b) or len(a) < 3:
         return None
     w = np.ones(len(a)) if weights is None else weights
     w = w / w.sum()
     ca, cb = (a * w[:, None]).sum(axis=0), (b * w[:, None]).sum(axis=0)
     x, y = a - ca, b - cb
-    spread = np.linalg.eigvalsh((x[:, :, None] * x[:, None] * w[:, None, None]).sum(axis=0))
+    return align_moments(ca, cb, (x[:, :, None] * x[:, None] * w[:, None, None]).sum(axis=0), (x[:, :, None] * y[:, None] * w[:, None, None]).sum(axis=0), scale)
+
+
+def align_moments(ca: np.ndarray, cb: np.ndarray, xx: np.ndarray, s: np.ndarray, scale: bool = False):
+    """(R, t, s) by the largest eigenvector of Horn's matrix, from both centres and the centred second moments x x' and x y'."""
+    spread = np.linalg.eigvalsh(xx)
     if spread[1] <= 1e-12 * max(spread[2], 1e-300):
         return None  # all on one line
-    s = (x[:, :, None] * y[:, None] * w[:, None, None]).sum(axis=0)
     z = np.array([s[1, 2] - s[2, 1], s[2, 0] - s[0, 2], s[0, 1] - s[1, 0]])
     m = np.empty((4, 4))
     m[0, 0], m[0, 1:], m[1:, 0] = np.trace(s), z, z
@@ -191,12 +199,29 @@ def align(a: np.ndarray, b: np.ndarray, scale: bool = False, weights: np.ndarray
         [2 * (qx * qy + q0 * qz), q0 * q0 - qx * qx + qy * qy - qz * qz, 2 * (qy * qz - q0 * qx)],
         [2 * (qx * qz - q0 * qy), 2 * (qy * qz + q0 * qx), q0 * q0 - qx * qx - qy * qy + qz * qz],
     ])
-    k = 1.0
-    if scale:
-        k = float((w * (apply(r, np.zeros(3), 1.0, x) * y).sum(axis=1)).sum() / (w * (x * x).sum(axis=1)).sum())
+    # The mean of (R x) y is the sum of R and x y', element by element.
+    k = float((r * s.T).sum() / np.trace(xx)) if scale else 1.0
     return r, cb - k * apply(r, np.zeros(3), 1.0, ca[None])[0], k
 
 
+def limited(found, ca: np.ndarray, cb: np.ndarray, axis: str | None = None, fixed: str = ""):
+    """A transform that keeps, of its rotation, the part about one axis ("none": nothing), and does not move along ``fixed`` axes.
+
+    After a rotation is limited, the centres are brought together again.
+    """
+    r, t, s = found
+    if axis is not None:
+        at = {"x": (1, 2), "y": (2, 0), "z": (0, 1)}.get(axis)
+        kept = np.eye(3)
+        if at:
+            i, j = at
+            turn = math.atan2(r[j, i], r[i, i]) if axis == "z" else math.atan2(r[2, 1], r[2, 2]) if axis == "x" else math.atan2(-r[2, 0], r[2, 2])
+            kept[i, i] = kept[j, j] = math.cos(turn)
+            kept[j, i], kept[i, j] = math.sin(turn), -math.sin(turn)
+        r, t = kept, cb - s * apply(kept, np.zeros(3), 1.0, ca[None])[0]
+    return r, np.array([0.0 if n in fixed else v for n, v in zip("xyz", t, strict=True)]), s
+
+
 def apply(r: np.ndarray, t: np.ndarray, s: float, p: np.ndarray) -> np.ndarray:
     """s R p + t for each row of p."""
     return s * np.stack([(p * r[k]).sum(axis=1) for k in range(3)], axis=1) + t

@@ -195,9 +195,11 @@ def max_class(points: DataFrame) -> DataFrame:
 
 
 def line_stats(points: DataFrame) -> DataFrame:
-    """For each line: points, horizontal length between its ends, sag below their chord, azimuth in degrees.
+    """For each line: points, horizontal length between its ends, sag below their chord, azimuth in degrees, rms.
 
-    Ends are the points least and most along the longer axis, ties to the smaller ord.
+    Ends are the points least and most along the longer axis, ties to the smaller ord. rms
+    is that of the heights about their parabola along the chord; 0 for fewer than three
+    points, or where they leave the parabola undetermined.
     """
     long = points.groupBy("line").agg((F.max("x") - F.min("x") >= F.max("y") - F.min("y")).alias("by_x"))
     each = points.join(long, "line").withColumn("t", F.when(F.col("by_x"), F.col("x")).otherwise(F.col("y")))
@@ -207,7 +209,23 @@ def line_stats(points: DataFrame) -> DataFrame:
     each = points.join(ends, "line")
     along = F.when(F.col("length") > 0, ((F.col("x") - F.col("p.x")) * F.col("dx") + (F.col("y") - F.col("p.y")) * F.col("dy")) / (F.col("length") * F.col("length"))).otherwise(0.0)
     chord = F.col("p.z") + along * (F.col("q.z") - F.col("p.z"))
-    return each.groupBy("line").agg(F.count("*").alias("points"), F.first("length").alias("length"), F.greatest(F.lit(0.0), F.max(chord - F.col("z"))).alias("sag"), F.pmod(F.degrees(F.atan2(F.first("dx"), F.first("dy"))), F.lit(180.0)).alias("azimuth"))
+    each = each.withColumns({"v": 2 * along - 1, "h": F.col("z") - F.col("p.z")})
+    powers = [F.avg(F.pow("v", F.lit(k))).alias(f"v{k}") for k in range(1, 5)] + [F.avg(F.col("h") * F.pow("v", F.lit(k))).alias(f"h{k}") for k in range(3)] + [F.avg(F.col("h") * F.col("h")).alias("hh")]
+    told = each.groupBy("line").agg(F.count("*").alias("points"), F.first("length").alias("length"), F.greatest(F.lit(0.0), F.max(chord - F.col("z"))).alias("sag"), F.pmod(F.degrees(F.atan2(F.first("dx"), F.first("dy"))), F.lit(180.0)).alias("azimuth"), *powers)
+    # h = a v^2 + b v + c by least squares: Cramer's rule on the normal equations.
+    m = [["v4", "v3", "v2"], ["v3", "v2", "v1"], ["v2", "v1", None]]
+    at = lambda n: F.lit(1.0) if n is None else F.col(n)
+
+    def det(rows) -> Column:
+        (a, b, c), (d, e, f), (g, h, i) = ([at(n) for n in r] for r in rows)
+        return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+
+    whole, right = det(m), ["h2", "h1", "h0"]
+    a, b, c = (det([[*r[:k], right[j], *r[k + 1 :]] for j, r in enumerate(m)]) / F.col("det") for k in range(3))
+    told = told.withColumn("det", whole).withColumns({"a": F.when(F.abs("det") > 1e-12, a), "b": F.when(F.abs("det") > 1e-12, b), "c": F.when(F.abs("det") > 1e-12, c)})
+    # The mean square of what is left is that of h less its product with the fitted heights.
+    left = F.col("hh") - F.col("a") * F.col("h2") - F.col("b") * F.col("h1") - F.col("c") * F.col("h0")
+    return told.select("line", "points", "length", "sag", "azimuth", F.when(F.col("points") >= 3, F.coalesce(F.sqrt(F.greatest(F.lit(0.0), left)), F.lit(0.0))).otherwise(0.0).alias("rms"))
 
 
 def running_split(points: DataFrame, by: str, column: str, gap: float) -> DataFrame:

@@ -38,11 +38,11 @@ def squared(a: str, b: str, axes=AXES) -> Column:
 
 
 def _pairs(left: DataFrame, right: DataFrame, size: float, reach: int, axes=AXES) -> DataFrame:
-    """left rows as struct a with right rows as struct b of all cells within reach."""
-    near = right.select(F.struct(*right.columns).alias("b"), *_cell(size, axes), F.explode(_around(reach, axes)).alias("o"))
-    near = near.select("b", *[(F.col(f"c{n}") + F.col(f"o.d{n}")).alias(f"c{n}") for n in axes])
-    own = left.select(F.struct(*left.columns).alias("a"), *_cell(size, axes))
-    return own.join(near, [f"c{n}" for n in axes])
+    """left rows as struct a with right rows as struct b of all cells within reach; the left rows are sent to all these."""
+    near = left.select(F.struct(*left.columns).alias("a"), *_cell(size, axes), F.explode(_around(reach, axes)).alias("o"))
+    near = near.select("a", *[(F.col(f"c{n}") + F.col(f"o.d{n}")).alias(f"c{n}") for n in axes])
+    own = right.select(F.struct(*right.columns).alias("b"), *_cell(size, axes))
+    return near.join(own, [f"c{n}" for n in axes])
 
 
 def range_join(left: DataFrame, right: DataFrame, radius: float, axes=AXES) -> DataFrame:

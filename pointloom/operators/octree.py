@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import written
 from .joins import AXES
 
-CELL, DEPTH = 256, 12
+CELL, DEPTH, DEEPEST = 256, 12, 20
 
 
 def assign(points: DataFrame, cell: int = CELL, depth: int = DEPTH) -> DataFrame:
@@ -18,7 +18,8 @@ def assign(points: DataFrame, cell: int = CELL, depth: int = DEPTH) -> DataFrame
     hold more at the last level are leaves there. Counts run level by level over the points
     that are not placed yet; only counts by cell are shuffled before they are joined.
     """
-    depth = min(depth, 20)
+    if not 0 <= depth <= DEEPEST:
+        raise ValueError(f"the depth is 0 to {DEEPEST}: a path is one 64-bit number")
     box = points.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in AXES for f in (F.min, F.max)]).first()
     if box["min_x"] is None:
         return points.withColumns({"depth": F.lit(0), "leaf": F.lit(1).cast("long")})

@@ -622,7 +622,11 @@ def j6_raster_lookup(spark, d):
     return J.raster_lookup(M.cloud_emb(spark, d), raster, 5, 4, 0.15, (-0.3, -0.3)).select("ord", r6("ground").alias("ground"))
 
 
-@query()
+#: Line ends: ord, line, place, outward direction.
+ENDS = "(1, 1, 0.0, 0.0, 9.0, -1.0, 0.0, 0.0), (2, 1, 50.0, 0.0, 9.0, 1.0, 0.0, 0.0), (3, 2, 56.0, 0.2, 9.0, -1.0, 0.0, 0.0), (4, 2, 90.0, 0.2, 9.0, 1.0, 0.0, 0.0), (5, 3, 55.0, 4.0, 9.0, -1.0, 0.0, 0.0)"
+
+
+@query(f"WITH e AS (SELECT * FROM (VALUES {ENDS}) t(ord, line, x, y, z, dx, dy, dz)), p AS (SELECT a.ord AS a, b.ord AS b, CAST(sqrt({D2}) AS DOUBLE) AS d, a.dx * (b.x - a.x) + a.dy * (b.y - a.y) + a.dz * (b.z - a.z) AS along_a, b.dx * (a.x - b.x) + b.dy * (a.y - b.y) + b.dz * (a.z - b.z) AS along_b FROM e a JOIN e b ON a.ord < b.ord AND a.line <> b.line AND {D2} <= 100 AND {D2} > 0), c AS (SELECT a, b, d, least(1.0, along_a / d) AS ca, least(1.0, along_b / d) AS cb FROM p) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(d * sqrt(1 - ca * ca) + d * (acos(ca) + acos(cb)) / 2, 6) AS score FROM c WHERE ca >= cos(radians(12)) AND cb >= cos(radians(12)) AND d * sqrt(1 - ca * ca) <= 0.5")
 def j8_endpoint_join(spark, d):
     ends = spark.createDataFrame([(1, 1, 0.0, 0.0, 9.0, -1.0, 0.0, 0.0), (2, 1, 50.0, 0.0, 9.0, 1.0, 0.0, 0.0), (3, 2, 56.0, 0.2, 9.0, -1.0, 0.0, 0.0), (4, 2, 90.0, 0.2, 9.0, 1.0, 0.0, 0.0), (5, 3, 55.0, 4.0, 9.0, -1.0, 0.0, 0.0)], "ord long, line long, x double, y double, z double, dx double, dy double, dz double")
     return J.endpoint_join(ends, 10.0, 12.0, 0.5).select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), r6("score").alias("score"))
@@ -709,14 +713,14 @@ def g11_auto_radius(spark, d):
     return spark.createDataFrame([(float(auto_radius(M.cloud_emb(spark, d), 0.05)),)], "radius double")
 
 
-@query()
+@query("SELECT 1.0 AS x, 0.0 AS y, -2.0 AS z, 0.0 AS xx, -1.0 AS xy FROM (SELECT count(*) AS n FROM embeddings) WHERE n >= 3")
 def g13_align_pairs(spark, d):
     from .operators.registration import align_pairs
 
-    left = M.cloud_emb(spark, d).where("ord < 20").withColumnRenamed("ord", "index")
+    left = M.cloud_emb(spark, d).withColumnRenamed("ord", "index")
     right = left.select("index", (-F.col("y") + 1).alias("x"), F.col("x").alias("y"), (F.col("z") - 2).alias("z"))
-    t = align_pairs(left, right)["translation"]
-    return spark.createDataFrame([tuple(round(v, 6) for v in t)], "x double, y double, z double")
+    found = align_pairs(left, right)
+    return spark.createDataFrame([tuple(round(v, 6) + 0.0 for v in (*found["translation"], *found["rotation"][0][:2]))], "x double, y double, z double, xx double, xy double")
 
 
 @query()
@@ -800,3 +804,29 @@ def g4_isolated_trees(spark, d):
     z = F.when(trunk, h(3) * 5).otherwise(5 + h(4) * 2)
     stand = n.select(F.lit(1).alias("entity_id"), F.col("id").alias("ord"), x.alias("x"), y.alias("y"), z.alias("z"), "k")
     return isolate_trees(stand, cell1=0.2, cell2=0.3).groupBy("k", "tree").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EMB} SELECT round(min(x), 9) AS min_x, round(max(x), 9) AS max_x, round(min(y), 9) AS min_y, round(max(y), 9) AS max_y, round(min(z), 9) AS min_z, round(max(z), 9) AS max_z FROM cloud")
+def s8_ply_box(spark, d):
+    from .plans.lineage import folder
+    from .sources.ply import read_cloud, scan_box, write_ply
+
+    points = M.cloud_emb(spark, d).select("ord", *[F.col(n).alias(f"o{n}") for n in "xyz"], F.col("classification").cast("smallint").alias("classification"), F.lit(0).alias("treeid"))
+    path = folder(spark) + ".ply"
+    write_ply(points, path)
+    box = scan_box(read_cloud(spark, path))
+    return box.select(*[F.round(n, 9).alias(n) for n in box.columns])
+
+
+@query(f"WITH {EMB}, h AS (SELECT ord, z, round(z * 10 - 3, 6) AS ground FROM cloud) SELECT ord FROM h WHERE z - ground >= 1.5")
+def f8_hag_gate_of_table(spark, d):
+    points = M.cloud_emb(spark, d).withColumn("ground", F.round(F.col("z") * 10 - 3, 6))
+    return L.hag_gate(points, 1.5).select("ord")
+
+
+@query(f"WITH {EMB}, n AS (SELECT a.ord, count(*) AS n FROM cloud a JOIN cloud b ON {D2} <= 0.1 * 0.1 GROUP BY a.ord), f AS (SELECT c.ord, n, (x + 1) / 2 AS linearity, y AS verticality FROM cloud c JOIN n USING (ord)) SELECT ord, n FROM f WHERE linearity >= 0.55 AND abs(verticality) <= sin(radians(25)) AND n >= 3")
+def f10_line_gates_of_table(spark, d):
+    cloud = M.cloud_emb(spark, d)
+    n = J.range_join(cloud.select("ord", "x", "y", "z"), cloud.select("ord", "x", "y", "z"), 0.1).groupBy(F.col("a.ord").alias("ord")).agg(F.count("*").alias("n"))
+    features = cloud.join(n, "ord").select("ord", "n", ((F.col("x") + 1) / 2).alias("linearity"), F.col("y").alias("verticality"))
+    return L.refine_lines(L.loose_line_gate(features), 0.55).select("ord", "n")
