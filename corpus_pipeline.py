@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. A stage works on all rows that the one before it kept.
+
+Null and empty texts are clean, have no lines, link with nothing and pack as one token. Rows
+without an id are scored, but go at the line stage, since they have no place in the order.
+Rows that share an id are judged each for itself by the first two stages; where one of them
+is hit by the benchmark, all go; packing takes each. Of linked documents that with the
+smallest id stays, so there are no ties. Columns other than doc_id and text are carried
+along; n_chars follows the text.
 """
 
 from __future__ import annotations
