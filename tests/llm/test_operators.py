@@ -506,3 +506,91 @@ def test_rows_without_an_id_go_and_repeated_rows_stay(spark, docs):
     assert rows(lines.line_dedup(odd, 1, 1), "doc_id", "n_removed") == [(1, 0)] * 3
     assert rows(jaccard_join(odd), "doc_id", "component_id") == [(1, 1)] * 3
     assert katz_scores(odd).count() == 3 and packing.pack(odd, tokenizer_path()).count() == 3
+
+
+def thue_morse(n):
+    """Two strings of 2^n letters that every polynomial hash modulo 2^64 takes for equal."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_unequal_strings_with_equal_polynomials_stay_apart(spark):
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(11)
+    rest = [f"r{k}" for k in range(60)]
+    texts = [(1, " ".join([a, *rest[:49]])), (2, " ".join([b, *rest[:49]])), (3, " ".join(a)), (4, " ".join(b)), (5, f"{a}\nx\ny"), (6, f"{b}\nx\ny"), (7, a), (8, b)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    assert rows(substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256", "kept") == substring_brute(texts, 50)
+    assert rows(lines.line_dedup(df, 3), "doc_id", "n_lines", "n_removed", "text") == lines_brute(texts, 3)
+    items = [(1, texts[0][1]), (2, " ".join(b)[:39])]
+    got = decontam.digest(decontam.decontaminate(df, spark.createDataFrame(items, "item_id long, text string")))
+    assert rows(got, *got.columns) == decontam_brute(texts, items, 10)
+    assert rows(jaccard_join(df, 3, 90), "doc_id", "n_shingles", "component_id") == jaccard_brute(texts, 3, 90)
+    same_scores(katz_scores(df).collect(), katz_brute(texts, 3))
+    tool = Tokenizer.from_file(tokenizer_path())
+    ids = {r.doc_id: list(r.ids) for r in packing.pack(df.where("doc_id > 6"), tokenizer_path(), capacity=1 << 14, with_ids=True).collect()}
+    assert ids == {d: [*tool.encode(t, add_special_tokens=False).ids, 0] for d, t in texts if d > 6}
+
+
+def test_near_misses_and_copies_in_one_cluster(spark, monkeypatch):
+    """Groups of links larger than a block, next to documents that are alike but below the similarity."""
+    import random
+
+    from pointloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 7)
+    rng = random.Random(4)
+    base = [f"t{k}" for k in range(120)]
+    texts = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 5, 9])):
+            w[rng.randrange(120)] = f"x{rng.randrange(900)}"
+        texts.append((k, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert rows(jaccard_join(df, 3, 90), "doc_id", "n_shingles", "component_id") == jaccard_brute(texts, 3, 90)
+
+
+def test_long_texts_and_repeated_rows(spark):
+    """A text above a slice, one above a chunk, and rows that share an id, with clashing columns."""
+    long = " ".join(f"k{k % 7001}" for k in range(300_000)) + "\none line"
+    most = ("word " * 30 + "\n") * 60_000  # 9 MB
+    texts = [(1, long), (2, most), (3, "word word"), (3, "word word"), (3, "else"), (None, "gone"), (4, None), (5, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({k: F.lit("clash") for k in ("ids", "piece", "n_words", "items", "licenses", "held_out", "chunk")}).repartition(3)
+    held = [r for r in texts if r[0] is not None]
+    got = decontam.decontaminate(df, spark.createDataFrame([(1, "k1 k2 k3 k4"), (1, "k1 k2 k3 k4")], "item_id long, text string").withColumn("spans", F.lit(1)))
+    assert rows(got, "doc_id", "n_words", "n_hit") == sorted((d, len(ALNUM.findall(low(t))), 4 * 42 + 4 * (d == 1 and 300_000 % 7001 > 4) if d == 1 else 0) for d, t in held)
+    pieces = packing.pack(df, tokenizer_path()).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.countDistinct("sequence_id").alias("s")).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3, 4, 5} and {r.doc_id: r.tokens for r in pieces}[5] == 1
+    assert rows(license_scan(df).withColumn("n", F.size("matches")), "doc_id", "n") == sorted((d, 0) for d, _ in held)
+    assert decontam.decontaminate(df.limit(0), spark.createDataFrame([(1, "k1")], "item_id long, text string")).count() == 0
+    scores = {r.doc_id: r for r in katz_scores(df.where("doc_id = 1 or doc_id > 3")).collect()}
+    assert scores[1].n_tokens == 300_003 and scores[4].n_tokens == 1
+
+
+def test_nearest_with_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 16))
+    found = [(k % 40, [float(v) for v in r]) for k, r in enumerate(x)]
+    df = spark.createDataFrame(found, "vec_id long, embedding array<double>").withColumns({k: F.lit("clash") for k in ("t", "axis", "code", "low", "high", "vec")}).repartition(4)
+    got = defaultdict(list)
+    for r in nearest(df, df.where("vec_id < 3"), probes=32).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(3):
+        best = defaultdict(lambda: -9.0)
+        for a in (k for k in range(60) if k % 40 == q):
+            for b in range(60):
+                if b % 40 != q:
+                    best[b % 40] = max(best[b % 40], float(unit[a] @ unit[b]))
+        want = sorted(((v, round(s, 9)) for v, s in best.items()), key=lambda p: (-p[1], p[0]))[:5]
+        assert got[q] == want
+
+
+def test_chat_with_repeated_rows(spark):
+    found = [(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "user", "a"), (2, 2, "x", None), (3, None, None, None)]
+    df = spark.createDataFrame(found, "conv_id long, turn long, role string, text string").withColumns({"place": F.lit(1), "turns": F.lit(2), "n_copies": F.lit(3)})
+    assert sorted((r.conv_id, r.n_turns, r.n_copies) for r in chat.collapse(df).collect()) == [(2, 3, 1), (3, 1, 1)]
