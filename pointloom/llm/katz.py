@@ -22,6 +22,7 @@ reads a chunk with its parts of the tables and goes down the recursion for each
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -196,9 +197,8 @@ class _Level:
 
     gram: each token's n-gram by local number, the last of which stands for all that training
     cannot have; count: their counts; alone: whether no other chunk has them; columns: their
-    words. history: each token's history by local number; size: the histories' counts; own,
-    low: their continuations by small counts of their own and of the order below, at 0 the
-    sum of the larger counts.
+    words. history: each token's history by local number; numbers: gives the histories'
+    numbers, such as ``_numbers`` has them.
     """
 
     gram: np.ndarray
@@ -206,9 +206,7 @@ class _Level:
     alone: np.ndarray
     columns: list[np.ndarray]
     history: np.ndarray | None = None
-    size: np.ndarray | None = None
-    own: list[np.ndarray] | None = None
-    low: list[np.ndarray] | None = None
+    numbers: Callable[[], dict[str, np.ndarray]] | None = None
 
 
 def _numbers(of: np.ndarray, total: np.ndarray, low: np.ndarray, n: int) -> dict[str, np.ndarray]:
@@ -288,10 +286,13 @@ class _Grams:
         take = lambda name: np.concatenate([np.zeros(0, np.int64), *[x[name].astype(np.int64) for x in told]])
         count, alone = np.append(self.count, 0), np.append(self.alone, False)
         count[self.order], alone[self.order] = take("count"), take("alone").astype(bool)
-        mine = _numbers(self.of[self.alone], self.count[self.alone], self.low[self.alone], self.size)
-        added = lambda name: mine[name] + np.bincount(self.unit_of, take(name), self.size).astype(np.int64)
         columns = [np.append(x[self.of], 0) for x in self.columns] + [np.append(self.word, 0)]
-        return _Level(self.gram, count, alone, columns, self.history, added("size"), *([added(f"{x}{r}") for r in range(SMALL + 1)] for x in "tl"))
+
+        def numbers() -> dict[str, np.ndarray]:
+            mine = _numbers(self.of[self.alone], self.count[self.alone], self.low[self.alone], self.size)
+            return {name: x + np.bincount(self.unit_of, take(name), self.size).astype(np.int64) for name, x in mine.items()}
+
+        return _Level(self.gram, count, alone, columns, self.history, numbers)
 
 
 def _grams(c: _State, found: dict, order: int, ends: int, n_buckets: int, share: int) -> tuple[list[_Level], _Grams]:
@@ -357,19 +358,22 @@ def probabilities(levels: list[_Level], lower: Unigrams, d: list[np.ndarray]) ->
     prob = lower(levels[0].count[levels[0].gram])
     below, scale_below, own = lower.d, None, None
     for k, level in enumerate(levels[1:]):
-        r = np.arange(1, SMALL + 1)
-        rest = sum((1 - d[k][x]) * x * level.own[x] for x in r)
-        mass = level.low[0] + sum(below[x] * x * level.low[x] for x in r)
+        told = level.numbers()
+        r = range(1, SMALL + 1)
+        rest = sum((1 - d[k][x]) * x * told[f"t{x}"] for x in r)
+        mass = told["l0"] + sum(below[x] * x * told[f"l{x}"] for x in r)
+        whole = told["size"]
+        del told
         if scale_below is None:
             mass = mass * lower.scale
         else:
             # The history without its first word, at any token that has the history.
-            shorter = np.zeros(len(level.size), np.int64)
+            shorter = np.zeros(len(whole), np.int64)
             shorter[level.history] = own
             mass = mass * scale_below[shorter]
-        seen = level.size > 0
+        seen = whole > 0
         weight, scale = np.ones(len(seen)), np.zeros(len(seen))
-        size, left = level.size[seen], np.maximum(rest[seen], 0.5)
+        size, left = whole[seen], np.maximum(rest[seen], 0.5)
         weight[seen] = left / size / (1 - mass[seen])
         scale[seen] = (size - left) / (size - rest[seen]) / size
         count = level.count[level.gram]
