@@ -13,16 +13,19 @@ under all axes of one table, where every row is.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
 
 TABLES, PROBES = 8, 10
+#: Bytes of a vector's name.
+NAME = 16
 PIECE_ROWS = 4096
 
 
@@ -54,22 +57,35 @@ def axes(y: np.ndarray, many: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :many]
 
 
-def encoded(unit: np.ndarray) -> list[bytes]:
-    """Unit vectors as steps of one byte, behind the size of a step and a bound of the error's length."""
+def encoded(unit: np.ndarray, x: np.ndarray) -> list[bytes]:
+    """Unit vectors as steps of one byte, behind a name of the vector x, the size of a step and a bound of the error's length."""
     step = np.maximum(np.abs(unit).max(axis=1) / 127, 1e-30).astype(np.float32)
     code = np.clip(np.rint(unit / step[:, None].astype(np.float64)), -127, 127).astype(np.int8)
     off = np.sqrt(((unit - code * step[:, None].astype(np.float64)) ** 2).sum(axis=1))
     # Rounded up, with room for the rounding of sums.
     error = np.nextafter((off + 1e-6).astype(np.float32), np.float32(np.inf))
     head = np.stack([step, error], axis=1).astype("<f4")
-    return [h.tobytes() + c.tobytes() for h, c in zip(head, code, strict=True)]
+    names = (hashlib.blake2b(v.tobytes(), digest_size=NAME).digest() for v in x + 0.0)
+    return [n + h.tobytes() + c.tobytes() for n, h, c in zip(names, head, code, strict=True)]
 
 
-def decoded(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Approximate unit vectors and the bounds of their errors."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 + dim)
-    head = np.ascontiguousarray(raw[:, :8]).view("<f4")
-    return np.ascontiguousarray(raw[:, 8:]).view(np.int8) * head[:, :1].astype(np.float64), head[:, 1].astype(np.float64)
+def decoded(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Approximate unit vectors, the bounds of their errors, and the vectors' names as two numbers each."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, NAME + 8 + dim)
+    head = np.ascontiguousarray(raw[:, NAME : NAME + 8]).view("<f4")
+    names = np.ascontiguousarray(raw[:, :NAME]).view("<u8")
+    return np.ascontiguousarray(raw[:, NAME + 8 :]).view(np.int8) * head[:, :1].astype(np.float64), head[:, 1].astype(np.float64), names
+
+
+def _least_of_each(ids: np.ndarray, names: np.ndarray, many: int) -> np.ndarray:
+    """Of the rows of each vector those of the ``many`` smallest ids, in order of ids."""
+    order = np.lexsort((ids, names[:, 1], names[:, 0]))
+    other = np.append(True, (names[order][1:] != names[order][:-1]).any(axis=1))
+    order = order[other | np.append(True, ids[order][1:] != ids[order][:-1])]
+    other = np.flatnonzero(np.append(True, (names[order][1:] != names[order][:-1]).any(axis=1)))
+    place = np.arange(len(order)) - np.repeat(other, np.diff(np.append(other, len(order))))
+    order = order[place < many]
+    return order[np.argsort(ids[order], kind="stable")]
 
 
 def _hashed(signs: np.ndarray, dim: int, many: int):
@@ -79,9 +95,9 @@ def _hashed(signs: np.ndarray, dim: int, many: int):
                 part = b.slice(at, 1024)
                 ids = part.column("vec_id").to_numpy(zero_copy_only=False)
                 x = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                x = x / np.abs(x).max(axis=1)[:, None]  # so that squares neither vanish nor overflow
+                original, x = x, x / np.abs(x).max(axis=1)[:, None]  # so that squares neither vanish nor overflow
                 unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                code = np.array([*encoded(unit), None], dtype=object)[:-1]
+                code = np.array([*encoded(unit, original), None], dtype=object)[:-1]
                 for t, s in enumerate(signs):
                     found = axes(rotate(unit, s), many)
                     n = found.shape[1]
@@ -97,8 +113,9 @@ def _possible(dim: int, k: int):
         parts = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]]
         if left.num_rows and right.num_rows:
             qid, rid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-            order = np.argsort(rid, kind="stable")
-            (q, q_off), (r, r_off) = decoded(left["code"], dim), decoded(right["code"], dim)
+            (q, q_off, _), (r, r_off, names) = decoded(left["code"], dim), decoded(right["code"], dim)
+            # Of equal vectors only those of the smallest ids can be among the best: k, and the query's own.
+            order = _least_of_each(rid, names, k + 1)
             r, r_off, rid = r[order], r_off[order], rid[order]
             first = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
             for at in range(0, len(q), 128):
@@ -122,18 +139,20 @@ def _possible(dim: int, k: int):
     return run
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """The cosine of two arrays of doubles; each is scaled by its largest component first."""
+def _cosines(dim: int):
+    """Exact cosines of the vectors own and asked; each is scaled by its largest component first."""
 
-    def scaled(x: Column) -> Column:
-        most = F.array_max(F.transform(x, F.abs))
-        return F.transform(x, lambda v: v / most)
+    def scaled(column: pa.Array) -> np.ndarray:
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        return x / np.abs(x).max(axis=1)[:, None]
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = scaled(b.column("own")), scaled(b.column("asked"))
+            score = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+            yield pa.record_batch([b.column("query_id"), b.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    a, b = scaled(a), scaled(b)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return run
 
 
 def _ranked(rows: DataFrame, queries: DataFrame, dim: int, k: int, signs: np.ndarray, probes: int, piece_rows: int) -> DataFrame:
@@ -153,7 +172,7 @@ def _ranked(rows: DataFrame, queries: DataFrame, dim: int, k: int, signs: np.nda
     sure = F.min(F.when(F.col("place") <= k, F.col("low"))).over(Window.partitionBy("query_id"))
     left = once.withColumn("place", place).withColumn("sure", sure).where(F.col("high") >= F.col("sure")).select("query_id", "vec_id")
     exact = left.join(rows.withColumnRenamed("vec", "own"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("asked")), "query_id")
-    best = exact.select("query_id", "vec_id", cosine(F.col("asked"), F.col("own")).alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = exact.select("query_id", "vec_id", "own", "asked").mapInArrow(_cosines(dim), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -594,3 +594,17 @@ def test_chat_with_repeated_rows(spark):
     found = [(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "user", "a"), (2, 2, "x", None), (3, None, None, None)]
     df = spark.createDataFrame(found, "conv_id long, turn long, role string, text string").withColumns({"place": F.lit(1), "turns": F.lit(2), "n_copies": F.lit(3)})
     assert sorted((r.conv_id, r.n_turns, r.n_copies) for r in chat.collapse(df).collect()) == [(2, 3, 1), (3, 1, 1)]
+
+
+def test_nearest_among_copies(spark):
+    """Of many equal vectors the smallest ids are the nearest, and a piece sends no more of them."""
+    from pointloom.llm import ann
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.tile(rng.normal(size=(1, 32)), (300, 1)), rng.normal(size=(60, 32))])
+    got = defaultdict(list)
+    for r in nearest(vectors(spark, x), vectors(spark, x).where("vec_id % 100 = 0"), piece_rows=50).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got[0] == [1, 2, 3, 4, 5] and got[100] == got[200] == [0, 1, 2, 3, 4]
+    names = np.zeros((400, 2), np.uint64)
+    assert ann._least_of_each(np.arange(400)[::-1].copy(), names, 6).tolist() == [399, 398, 397, 396, 395, 394]
