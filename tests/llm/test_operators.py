@@ -608,3 +608,13 @@ def test_nearest_among_copies(spark):
     assert got[0] == [1, 2, 3, 4, 5] and got[100] == got[200] == [0, 1, 2, 3, 4]
     names = np.zeros((400, 2), np.uint64)
     assert ann._least_of_each(np.arange(400)[::-1].copy(), names, 6).tolist() == [399, 398, 397, 396, 395, 394]
+
+
+def test_chat_with_many_turns(spark):
+    """Hashes take time in proportion to the turns, and their order counts."""
+    n = 30000
+    long = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    part = long.where(f"turn < {n} - 1").withColumn("conv_id", F.lit(2))
+    turned = long.withColumns({"conv_id": F.lit(3), "turn": n - F.col("turn")})
+    got = chat.collapse(long.unionByName(part).unionByName(turned)).select("conv_id", "n_turns", F.length("rendered").alias("n")).collect()
+    assert sorted((r.conv_id, r.n_turns) for r in got) == [(1, n), (3, n)] and len({r.n for r in got}) == 1
