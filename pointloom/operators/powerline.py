@@ -54,7 +54,9 @@ def trace(candidates: DataFrame, connect: float = 3.0, tolerance: float = 0.35,
 def _join(drafts: DataFrame, gap: float, angle: float) -> DataFrame:
     """(line, into): wires that continue each other, best fit first, each end used once.
 
-    One row a wire comes to the driver, and there are no more than a few for each line.
+    Wires that candidate joins connect are one group of rows, one a pair of ends; what is
+    joined in a group does not depend on others, so the best first within each is the best
+    first of all.
     """
     s = drafts.groupBy("line").agg((F.max("x") - F.min("x") >= F.max("y") - F.min("y")).alias("by_x"))
     each = drafts.join(s, "line").withColumn("t", F.when(F.col("by_x"), F.col("x")).otherwise(F.col("y")))
@@ -63,19 +65,30 @@ def _join(drafts: DataFrame, gap: float, angle: float) -> DataFrame:
     ends = ends.withColumn("size", size).where("size > 0")
     # The chord's level direction; wires sag, so their ends are not level.
     row = lambda e, sign: ends.select((F.col("line") * 2 + (1 if e == "q" else 0)).alias("ord"), "line", *[F.col(f"{e}.{n}").alias(n) for n in "xyz"], *[(sign * (F.col(f"q.{n}") - F.col(f"p.{n}")) / F.col("size")).alias(f"d{n}") for n in "xy"], F.lit(0.0).alias("dz"))
-    pairs = endpoint_join(row("p", -1).unionByName(row("q", 1)), gap, angle, LATERAL).select(F.col("a.ord").alias("i"), F.col("b.ord").alias("j")).collect()
-    lines = [r["line"] for r in drafts.select("line").distinct().collect()]
-    root = {k: k for k in lines}
+    found = endpoint_join(row("p", -1).unionByName(row("q", 1)), gap, angle, LATERAL)
+    pairs = written(found.select(F.col("a.line").alias("a"), F.col("b.line").alias("b"), F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), "score"))
+    roots = connected_components(pairs)
+    grouped = pairs.join(roots.withColumnRenamed("id", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    into = grouped.groupBy("root").applyInArrow(_best_first, "line long, into long")
+    return drafts.select("line").distinct().join(into, "line", "left").select("line", F.coalesce("into", "line").alias("into"))
+
+
+def _best_first(table: pa.Table) -> pa.Table:
+    """(line, into) of a group's wires: pairs by score, each end once, no wire closed to a ring; into is the least of those joined."""
+    t = table.sort_by([("score", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    a, b, i, j = (t[n].to_pylist() for n in "abij")
+    root = {k: k for k in (*a, *b)}
 
     def find(k):
         while root[k] != k:
+            root[k] = root[root[k]]
             k = root[k]
         return k
 
     used = set()
-    for r in pairs:
-        a, b = find(r["i"] // 2), find(r["j"] // 2)
-        if a != b and not {r["i"], r["j"]} & used:
-            used |= {r["i"], r["j"]}
-            root[max(a, b)] = min(a, b)
-    return drafts.sparkSession.createDataFrame([(k, find(k)) for k in lines], "line long, into long")
+    for x, y, p, q in zip(a, b, i, j, strict=True):
+        x, y = find(x), find(y)
+        if x != y and not {p, q} & used:
+            used |= {p, q}
+            root[max(x, y)] = min(x, y)
+    return pa.table({"line": pa.array(list(root), pa.int64()), "into": pa.array([find(k) for k in root], pa.int64())})

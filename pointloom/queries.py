@@ -766,6 +766,43 @@ def g17_budgeted_sample(spark, d):
     return budget(assign(M.cloud_emb(spark, d), 32, 4), 120).select("ord")
 
 
+#: A view's planes: normal inwards, constant.
+PLANES = [(1.0, 0.0, 0.0, 0.1), (-0.6, 0.8, 0.0, 0.12), (0.0, 0.0, 1.0, 0.15)]
+
+
+def _flags_sql() -> str:
+    spot = ", ".join("m{0} + size * ({1} + 0.5) / (1 << k) AS c{0}".format(n, " + ".join(f"CASE WHEN {b} < k THEN ((c >> {3 * b + 2 - j}) & 1) << {b} ELSE 0 END" for b in range(4))) for j, n in enumerate("xyz"))
+    far = [f"cx * {p[0]} + cy * {p[1]} + cz * {p[2]} + {p[3]}" for p in PLANES]
+    state = "CASE WHEN " + " OR ".join(f"{f} < -r" for f in far) + " THEN 0 WHEN " + " OR ".join(f"{f} < r" for f in far) + " THEN 1 ELSE 2 END"
+    return f"""o AS ({_octree_sql(32, 4)}), {EMB}, b AS (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS size FROM cloud),
+l AS (SELECT leaf, depth, count(*) AS n FROM o GROUP BY leaf, depth), c AS (SELECT l.*, k, leaf >> CAST(3 * (depth - k) AS INTEGER) AS c FROM l, (SELECT CAST(range AS INTEGER) AS k FROM range(5)) WHERE k <= depth),
+m AS (SELECT leaf, depth, n, k, size / (1 << k) * sqrt(3) / 2 AS r, {spot} FROM c, b), s AS (SELECT leaf, depth, n, k, {state} AS state FROM m),
+f AS (SELECT leaf, depth, n, CAST(coalesce(arg_min(state, k) FILTER (WHERE state <> 1), 1) AS INTEGER) AS state FROM s GROUP BY leaf, depth, n)"""
+
+
+@query(f"WITH {_flags_sql()} SELECT leaf, depth, n, state FROM f")
+def g17_frustum_flags(spark, d):
+    from .operators.octree import assign, flagged
+
+    return flagged(assign(M.cloud_emb(spark, d), 32, 4), PLANES)
+
+
+@query(f"WITH {_flags_sql()}, k AS (SELECT leaf, n, least(n, CAST(ceil(n * 120.0 / sum(n) OVER ()) AS BIGINT)) AS k FROM f WHERE state <> 0), w AS (SELECT ord, n, k, row_number() OVER (PARTITION BY leaf ORDER BY ord) - 1 AS r FROM o JOIN k USING (leaf)) SELECT ord FROM w WHERE list_contains(list_transform(range(k), lambda j: (j * n) // k), r)")
+def g17_gathered_points(spark, d):
+    from .operators.octree import assign, flagged, gathered
+
+    placed = assign(M.cloud_emb(spark, d), 32, 4)
+    return gathered(placed, flagged(placed, PLANES), 120).select("ord")
+
+
+@query()
+def g17_quotas(spark, d):
+    from .operators.octree import quotas
+
+    seen = M.cloud_evt(spark, d).groupBy("entity_id").agg(F.sum((F.col("z") > 50).cast("long")).alias("visible"), F.count("*").alias("capacity"))
+    return quotas(seen, 500).select("entity_id", "visible", "quota")
+
+
 @query(f"WITH {EMB} SELECT ord, floor(round(x, 3) * 1000 + 0.5) AS x, CAST(abs(classification) AS SMALLINT) AS classification FROM cloud")
 def k4_las_round_trip(spark, d):
     from .plans.lineage import folder

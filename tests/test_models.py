@@ -186,6 +186,59 @@ def test_octree(spark, parts):
     assert 150 <= octree.budget(got, 200).count() <= 300
 
 
+def test_frustum(spark):
+    rng = np.random.default_rng(19)
+    p = rng.uniform(0, 1, (900, 3))
+    got = octree.assign(cloud(spark, p), cell=32, depth=5)
+    planes = [(0.8, 0.6, 0.0, -0.5), (0.0, -1.0, 0.0, 0.8)]
+    low, size = p.min(axis=0), (p.max(axis=0) - p.min(axis=0)).max()
+
+    def state(leaf, depth):
+        for level in range(depth + 1):
+            path = leaf >> 3 * (depth - level)
+            cell = [sum((path >> (3 * b + 2 - j) & 1) << b for b in range(level)) for j in range(3)]
+            centre, radius = low + size * (np.array(cell) + 0.5) / 2**level, size / 2**level * 3**0.5 / 2
+            far = [np.dot(q[:3], centre) + q[3] for q in planes]
+            if min(far) < -radius:
+                return octree.OUTSIDE
+            if min(far) >= radius:
+                return octree.INSIDE
+        return octree.CROSSING
+
+    flags = octree.flagged(got, planes)
+    rows = flags.collect()
+    assert sum(r.n for r in rows) == 900 and len({r.state for r in rows}) == 3
+    assert all(r.state == state(r.leaf, r.depth) for r in rows)
+    seen = {r.leaf for r in rows if r.state != octree.OUTSIDE}
+    few, more = (octree.gathered(got, flags, n).collect() for n in (60, 120))
+    assert {r.leaf for r in few} == {r.leaf for r in more} == seen and 60 <= len(few) <= 60 + len(seen)
+    assert octree.gathered(got, flags, 10**6).count() == sum(r.n for r in rows if r.leaf in seen)
+    assert octree.gathered(got, flags, 0).count() == 0
+    assert {r.state for r in octree.flagged(got, []).collect()} == {octree.INSIDE}
+
+
+def quotas_brute(rows, points):
+    most = {e: min(v, c) for e, v, c in rows if v > 0}
+    if not most or points <= 0:
+        return dict.fromkeys([e for e, *_ in rows], 0)
+    out = {e: min(m, math.ceil(points * 0.25 / len(most))) for e, m in most.items()}
+    rest, lack = points - sum(out.values()), {e: most[e] - out[e] for e in out}
+    whole = sum(lack.values())
+    for k, e in enumerate(sorted(out)):
+        if lack[e] > 0 and rest > 0:
+            add = min(lack[e], rest, rest if k == len(out) - 1 else math.ceil(lack[e] / whole * rest))
+            out[e], rest = out[e] + add, rest - add
+    return {e: out.get(e, 0) for e, *_ in rows}
+
+
+@pytest.mark.parametrize("points", [0, 7, 100, 997, 10**6])
+def test_quotas(spark, points):
+    rng = np.random.default_rng(20)
+    rows = [(k, int(v), int(c)) for k, (v, c) in enumerate(zip(rng.integers(0, 400, 9) * rng.integers(0, 2, 9), rng.integers(1, 300, 9), strict=True))]
+    got = {r.entity_id: r.quota for r in octree.quotas(spark.createDataFrame(rows, "entity_id int, visible long, capacity long"), points).collect()}
+    assert got == quotas_brute(rows, points) and sum(got.values()) <= max(points, sum(1 for _, v, _ in rows if v))
+
+
 def test_degenerate_parameters(spark):
     df = cloud(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0), (100, 100, 100), (0, 0, 0)])
     assert L.radius_filter(df, 0, 1).count() == 0 and L.radius_filter(df, 1, 0).count() == 5
