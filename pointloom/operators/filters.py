@@ -35,12 +35,14 @@ def statistical_filter(points: DataFrame, k: int = 10, lam: float = 1.0, cell: f
     return each.crossJoin(F.broadcast(limit)).where("__m <= __limit").drop("__m", "__limit")  # one row
 
 
-def voxel_downsample(points: DataFrame, leaf: float) -> DataFrame:
+def voxel_downsample(points: DataFrame, leaf: float, digits: int | None = None) -> DataFrame:
     """Of each cell of edge ``leaf`` the real point nearest to the cell's centroid, ties to the smallest ord.
 
     A leaf that is not positive keeps all. Coordinates are summed as decimals, exactly, so
     the centroid does not depend on the order of rows; both passes aggregate before they
-    shuffle, so a cell may hold any share of the rows.
+    shuffle, so a cell may hold any share of the rows. digits: squared distances that are
+    equal when rounded to so many decimals are ties; without, only equal doubles are, and of
+    two points as far from their centroid the last bit of a sum may choose.
     """
     if not leaf > 0:
         return points
@@ -49,6 +51,8 @@ def voxel_downsample(points: DataFrame, leaf: float) -> DataFrame:
     exact = [(F.sum(F.col(n).cast("decimal(38,18)")).cast("double") * (F.lit(1.0) / F.count("*"))).alias(f"m{n}") for n in AXES]
     centers = spots.groupBy(keys).agg(*exact)
     gap = sum(((F.col(n) - F.col(f"m{n}")) * (F.col(n) - F.col(f"m{n}")) for n in AXES), F.lit(0.0))
+    if digits is not None:
+        gap = F.round(gap, digits)
     kept = spots.join(centers, keys).groupBy(keys).agg(F.min(F.struct(gap.alias("d2"), "ord")).alias("p")).select("p.ord")
     return points.join(kept, "ord", "left_semi")
 

@@ -67,7 +67,7 @@ def f2_statistical_filter(spark, d):
 
 @query(f"WITH {EMB}, c AS (SELECT *, floor(x / 0.1) AS cx, floor(y / 0.1) AS cy, floor(z / 0.1) AS cz FROM cloud), m AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my, avg(z) OVER w AS mz FROM c WINDOW w AS (PARTITION BY cx, cy, cz)) SELECT ord FROM m QUALIFY row_number() OVER (PARTITION BY cx, cy, cz ORDER BY round((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz), 12), ord) = 1")
 def f3_voxel_downsample(spark, d):
-    return L.voxel_downsample(M.cloud_emb(spark, d), 0.1).select("ord")
+    return L.voxel_downsample(M.cloud_emb(spark, d), 0.1, 12).select("ord")
 
 
 @query(f"WITH {EMB} SELECT ord, 2 - z > 0 AND 1.5 * x / (2 - z) BETWEEN -0.1 AND 0.12 AND 1.5 * y / (2 - z) BETWEEN -0.15 AND 0.1 AS inside FROM cloud")
