@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import AXES, knn_join, neighbours
+from ..plans.lineage import written
+from .joins import AXES, neighbours
+from .nearest import nearest
 
 
 def radius_filter(points: DataFrame, radius: float, least: int = 2) -> DataFrame:
@@ -29,7 +31,7 @@ def statistical_filter(points: DataFrame, k: int = 10, lam: float = 1.0, cell: f
     """
     if k <= 0:
         return points
-    own = knn_join(points, points, k, cell).groupBy(F.col("a.ord").alias("ord")).agg(F.avg("d2").alias("__m"))
+    own = written(nearest(points, points, k).groupBy("ord").agg(F.avg("d2").alias("__m")))
     each = points.join(own, "ord", "left").withColumn("__m", F.coalesce("__m", F.lit(0.0)))
     limit = each.agg((F.avg("__m") + max(lam, 0.0) * F.stddev_pop("__m")).alias("__limit"))
     return each.crossJoin(F.broadcast(limit)).where("__m <= __limit").drop("__m", "__limit")  # one row
