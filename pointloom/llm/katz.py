@@ -83,6 +83,74 @@ def _small(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2]
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers from 0 on in order, and where each stood, equal ones in their order.
+
+    Numbers that carry their places below sort several times as fast as places do by numbers.
+    """
+    n, bits = len(key), len(key).bit_length()
+    if not n or int(key.max()).bit_length() + bits > 63:
+        by = np.argsort(key, kind="stable")
+        return key[by], by
+    packed = key << bits
+    packed |= np.arange(n)
+    packed.sort()
+    by = packed & ((1 << bits) - 1)
+    packed >>= bits
+    return packed, by
+
+
+def _new(ordered: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ordered), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
+
+
+def _places(new: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """For each row, by an order and where its groups begin, the place of its group."""
+    place = np.empty(len(by), np.int64)
+    place[by] = np.cumsum(new) - 1
+    return place
+
+
+def _ranked(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of rows of whole numbers from 0 on, the first column first, and where rows differ from those before.
+
+    Columns that fit in one number together are sorted at once, others in turn from the last.
+    """
+    room, turns, width = 63 - len(keys[0]).bit_length(), [], 64
+    for key in reversed(keys):
+        bits = int(key.max()).bit_length() if len(key) else 0
+        if width + bits <= room:
+            turns[-1] = turns[-1] | key << width
+            width += bits
+        else:
+            turns.append(key)
+            width = bits
+    ordered, by = _sorted(turns[0])
+    for key in turns[1:]:
+        ordered, then = _sorted(key[by])
+        by = by[then]
+    new = _new(ordered)
+    for key in turns[:-1]:
+        new |= _new(key[by])
+    return by, new
+
+
+def _distinct(first: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``distinct``, by sorting the upper bits of the first names with their places, unless these bits or names stand for two strings."""
+    bits = U64(len(first).bit_length())
+    packed = first >> bits << bits
+    packed |= np.arange(len(first), dtype=U64)
+    packed.sort()
+    by = (packed & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    ordered, names = first[by], other[by]
+    new = _new(ordered)
+    if (ordered[1:] < ordered[:-1]).any() or (~new[1:] & (names[1:] != names[:-1])).any():
+        return distinct(first, other)
+    return by[new], _places(new, by)
+
+
 def _summed(counts: np.ndarray) -> np.ndarray:
     """Tokens, types, and types by count up to SMALL + 1."""
     return np.concatenate([[counts.sum(), (counts > 0).sum()], _small(counts)])
@@ -101,7 +169,7 @@ class _Chunk:
                 to.append(x)
         starts, ends, first, other, counts = (np.concatenate(x) for x in (starts, ends, first, other, counts))
         at = np.concatenate([[0], np.cumsum(counts)])
-        which, place = distinct(first, other) if len(first) else (first.astype(np.int64), first.astype(np.int64))
+        which, place = _distinct(first, other) if len(first) else (first.astype(np.int64), first.astype(np.int64))
         self.first, self.size = first[which], (ends - starts)[which]
         self.bytes = gather(data, starts[which], self.size)
         # The end is the chunk's last word.
@@ -136,7 +204,7 @@ def _answer_words(n_buckets: int):
         if asked:
             size = np.concatenate([x["size"].astype(np.int64) for _, x in asked])
             to = np.cumsum(size)
-            at, place = distinct(*T.names(np.concatenate([x["text"] for _, x in asked]), to - size, to))
+            at, place = _distinct(*T.names(np.concatenate([x["text"] for _, x in asked]), to - size, to))
             total = np.zeros(len(at), np.int64)
             np.add.at(total, place, np.concatenate([x["count"] for _, x in asked]))
             alone = np.bincount(place, minlength=len(at)) == 1
@@ -197,8 +265,8 @@ class _Level:
 
     gram: each token's n-gram by local number, the last of which stands for all that training
     cannot have; count: their counts; alone: whether no other chunk has them; columns: their
-    words. history: each token's history by local number; numbers: gives the histories'
-    numbers, such as ``_numbers`` has them.
+    words, unless nothing is asked above. history: each token's history by local number;
+    numbers: gives one of the histories' numbers, such as ``_number`` has them.
     """
 
     gram: np.ndarray
@@ -206,25 +274,28 @@ class _Level:
     alone: np.ndarray
     columns: list[np.ndarray]
     history: np.ndarray | None = None
-    numbers: Callable[[], dict[str, np.ndarray]] | None = None
+    numbers: Callable[[str], np.ndarray] | None = None
+
+
+NUMBERS = ["size", *[f"{kind}{r}" for kind in "tl" for r in range(SMALL + 1)]]
 
 
-def _numbers(of: np.ndarray, total: np.ndarray, low: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    """Occurrences of n histories, and their continuations by small counts: their own, and of the order below."""
-    seen = total > 0
-    told = {"size": np.bincount(of, total, n).astype(np.int64)}
-    for name, x in (("t", total), ("l", low)):
-        told[f"{name}0"] = np.bincount(of[seen & (x > SMALL)], x[seen & (x > SMALL)], n).astype(np.int64)
-        for r in range(1, SMALL + 1):
-            told[f"{name}{r}"] = np.bincount(of[seen & (x == r)], minlength=n)
-    return told
+def _number(name: str, of: np.ndarray, total: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+    """For n histories: ``size``, their occurrences, or their continuations by small counts, their own (t) or of the order below (l); 0: occurrences of the others."""
+    if name == "size":
+        return np.bincount(of, total, n).astype(np.int64)
+    x, r = total if name[0] == "t" else low, int(name[1:])
+    if r:
+        return np.bincount(of[(total > 0) & (x == r)], minlength=n)
+    large = (total > 0) & (x > SMALL)
+    return np.bincount(of[large], x[large], n).astype(np.int64)
 
 
 class _Grams:
     """A chunk's n-grams of the order above a level: those of its own, and what it asks, by bucket of the history."""
 
     def __init__(self, c: _State, below: _Level, ends: int, n_buckets: int, share: int):
-        n, words = len(c.tokens), len(c.number)
+        n, shift = len(c.tokens), len(c.number).bit_length()
         # A history is the n-gram of the order below that ends at the token before. The last
         # one there stands for those that are not known; the one of starts alone comes after.
         known = len(below.count)
@@ -234,12 +305,12 @@ class _Grams:
         counts, alone = np.append(below.count, ends), np.append(below.alone, False)
         self.columns = [np.append(x, 0) for x in below.columns]
         live = (counts[self.history] > 0) & (below.count[below.gram] > 0)
-        pair, place = np.unique(self.history[live] * words + c.tokens[live], return_inverse=True)
-        at = np.empty(len(pair), np.int64)
-        at[place] = np.flatnonzero(live)
+        pair, by = _sorted(self.history[live] << shift | c.tokens[live])
+        new = _new(pair)
+        place, pair, at = _places(new, by), pair[new], np.flatnonzero(live)[by[new]]
         self.gram = np.full(n, len(pair))
         self.gram[live] = place
-        self.of, word = pair // words, pair % words
+        self.of, word = pair >> shift, pair & ((1 << shift) - 1)
         self.word = c.number[word]
         self.count = np.bincount(place[c.train[live]], minlength=len(pair)).astype(np.int64)
         self.low = below.count[below.gram[at]]
@@ -254,22 +325,25 @@ class _Grams:
         base = np.cumsum(shares) - shares
         self.unit_of = np.repeat(np.arange(len(shares)), shares)
         self.part = np.arange(len(self.unit_of)) - base[self.unit_of]
-        h = T.mix(self.part, 81)
+        h = np.full(len(self.part), T.mix(np.zeros(1, np.int64), 81))
+        hot = np.flatnonzero(self.part)  # few histories have more than one share
+        h[hot] = T.mix(self.part[hot], 81)
         for x in self.columns:
             h = T.mix(h ^ x[self.unit_of].astype(U64), 82)
-        bucket = (h % U64(n_buckets)).astype(np.int64)
+        bucket = (h - h // U64(n_buckets) * U64(n_buckets)).astype(np.int64)
         # Histories are in order of their words already, but for the words' first one.
-        order = np.lexsort((self.unit_of, self.columns[0][self.unit_of], bucket))
+        order, _ = _ranked(bucket, self.columns[0][self.unit_of].astype(np.int64))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.unit_of, self.part, bucket = self.unit_of[order], self.part[order], bucket[order]
         self.cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
         asked = np.flatnonzero(~self.alone)
-        part = (T.mix(self.word[asked], 83) % np.maximum(shares[self.of[asked]], 1).astype(U64)).astype(np.int64)
-        unit = place[base[self.of[asked]] + part]
-        by = np.argsort(unit, kind="stable")
-        self.order = asked[by]
-        self.to = np.searchsorted(unit[by], np.arange(len(self.unit_of) + 1))
+        of = self.of[asked]
+        at, hot = base[of], np.flatnonzero(shares[of] > 1)
+        at[hot] += (T.mix(self.word[asked[hot]], 83) % shares[of[hot]].astype(U64)).astype(np.int64)
+        unit = place[at]
+        self.order = asked[_sorted(unit)[1]]
+        self.to = np.append(0, np.cumsum(np.bincount(unit, minlength=len(self.unit_of))))
 
     def blocks(self, chunk: int, n_buckets: int) -> pa.RecordBatch:
         out = [(chunk, "alone", chunk % n_buckets, B.dump(stats=_summed(self.count[self.alone])))]
@@ -281,16 +355,17 @@ class _Grams:
                 out.append((chunk, "grams", b, B.dump(**units, part=B.slim(self.part[i:j]), many=B.slim(many[i:j]), word=B.slim(self.word[own]), count=B.slim(self.count[own]), low=B.slim(self.low[own]))))
         return B.rows(out)
 
-    def answered(self, found: dict, kind: str) -> _Level:
+    def answered(self, found: dict, kind: str, last: bool) -> _Level:
+        """The level that the tables tell of; what only asking needs goes."""
         told = [B.load(x) for _, x in sorted(found.get(kind, {}).items())]
         take = lambda name: np.concatenate([np.zeros(0, np.int64), *[x[name].astype(np.int64) for x in told]])
         count, alone = np.append(self.count, 0), np.append(self.alone, False)
         count[self.order], alone[self.order] = take("count"), take("alone").astype(bool)
-        columns = [np.append(x[self.of], 0) for x in self.columns] + [np.append(self.word, 0)]
+        columns = [] if last else [np.append(x[self.of], 0) for x in self.columns] + [np.append(self.word, 0)]
+        mine, unit_of, size = [x[self.alone] for x in (self.of, self.count, self.low)], self.unit_of, self.size
 
-        def numbers() -> dict[str, np.ndarray]:
-            mine = _numbers(self.of[self.alone], self.count[self.alone], self.low[self.alone], self.size)
-            return {name: x + np.bincount(self.unit_of, take(name), self.size).astype(np.int64) for name, x in mine.items()}
+        def numbers(name: str) -> np.ndarray:
+            return _number(name, *mine, size) + np.bincount(unit_of, take(name), size).astype(np.int64)
 
         return _Level(self.gram, count, alone, columns, self.history, numbers)
 
@@ -300,9 +375,10 @@ def _grams(c: _State, found: dict, order: int, ends: int, n_buckets: int, share:
     none = np.zeros(1, np.int64)
     levels = [_Level(c.tokens, np.append(c.count, 0), np.append(c.alone, False), [np.append(c.number, none)])]
     for k in range(2, order + 1):
+        asked = None  # the one of the order below goes first
         asked = _Grams(c, levels[-1], ends, n_buckets, share)
         if k < order or f"model{k}" in found:
-            levels.append(asked.answered(found, f"model{k}"))
+            levels.append(asked.answered(found, f"model{k}", k == order))
     return levels, asked
 
 
@@ -327,20 +403,15 @@ def _answer_grams(order: int):
             columns = [f"{'sorted_' if n == 0 else ''}h{n}" for n in range(order - 1)] + ["part"]
             units = [np.concatenate([x[k].astype(np.int64) for _, x in asked]) for k in columns]
             many, word, count, low = (np.concatenate([x[k].astype(np.int64) for _, x in asked]) for k in ("many", "word", "count", "low"))
-            by = np.lexsort(units[::-1])
-            new = np.append(True, np.any([x[by][1:] != x[by][:-1] for x in units], axis=0))
-            unit = np.empty(len(by), np.int64)
-            unit[by] = np.cumsum(new) - 1
-            n = int(new.sum())
+            by, new = _ranked(*units)
+            unit, n = _places(new, by), int(new.sum())
             of = np.repeat(unit, many)
-            by = np.lexsort((word, of))
-            new = np.append(True, (of[by][1:] != of[by][:-1]) | (word[by][1:] != word[by][:-1])) if len(by) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
-            place = np.empty(len(by), np.int64)
-            place[by] = np.cumsum(new) - 1
+            by, new = _ranked(of, word)
+            at, place = np.flatnonzero(new), _places(new, by)
             total = np.add.reduceat(count[by], at) if len(at) else count
             alone = np.diff(np.append(at, len(by))) == 1
-            told = _numbers(of[by][at], total, low[by][at], n)
+            mine = of[by][at], total, low[by][at], n
+            told = {name: _number(name, *mine) for name in NUMBERS}
             stats = stats + _summed(total)
             begin, head = 0, 0
             for c, x in asked:
@@ -358,12 +429,10 @@ def probabilities(levels: list[_Level], lower: Unigrams, d: list[np.ndarray]) ->
     prob = lower(levels[0].count[levels[0].gram])
     below, scale_below, own = lower.d, None, None
     for k, level in enumerate(levels[1:]):
-        told = level.numbers()
         r = range(1, SMALL + 1)
-        rest = sum((1 - d[k][x]) * x * told[f"t{x}"] for x in r)
-        mass = told["l0"] + sum(below[x] * x * told[f"l{x}"] for x in r)
-        whole = told["size"]
-        del told
+        rest = sum((1 - d[k][x]) * x * level.numbers(f"t{x}") for x in r)
+        mass = level.numbers("l0") + sum(below[x] * x * level.numbers(f"l{x}") for x in r)
+        whole = level.numbers("size")
         if scale_below is None:
             mass = mass * lower.scale
         else:
@@ -387,7 +456,7 @@ def _score(lower: Unigrams, d: list[np.ndarray], ends: int, n_buckets: int, shar
 
     def run(chunk: int, found: dict) -> pa.RecordBatch:
         c = _State(found["state"][-1])
-        levels, _ = _grams(c, found, len(d) + 1, ends, n_buckets, share)
+        levels = _grams(c, found, len(d) + 1, ends, n_buckets, share)[0]
         count = c.count[c.tokens]
         n = np.diff(c.at)
         doc = np.repeat(np.arange(len(c.ids)), n)
