@@ -16,6 +16,8 @@ from .lineage import written
 HUB_ROWS, HUBS = 1000, 20_000
 #: Shares that a hub's rows are dealt out to.
 SALTS = 32
+#: So many edges (16 MB) are joined in one task, without rounds.
+ALONE = 1 << 20
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +43,15 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of all batches: ALONE edges at most."""
+    held = list(batches)
+    if held:
+        table = pa.Table.from_batches(held)
+        u, v = forest(table["u"].to_numpy(), table["v"].to_numpy())
+        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _with_least(edges: DataFrame, total: int, least: DataFrame) -> DataFrame:
     """Edges (u, v) with m of their u; the rows of hubs are dealt out by v. total: no fewer than there are edges."""
     if total <= HUB_ROWS:  # so there is no hub
@@ -63,12 +74,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     component ends as a star around its least vertex, in a number of rounds that grows with
     the logarithm of the size. Minima are aggregated before they are joined, and a hub's rows
     are dealt out over SALTS shares, so that a hub is no group of rows in one task. Each round
-    is written, which ends its lineage. Null ends and loops are ignored.
+    is written, which ends its lineage. As soon as there are no more than ALONE edges, one task
+    joins them: rounds over few rows cost stages, files and executors' memory, not work. Null
+    ends and loops are ignored.
     """
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where(f"{a} is not null and {b} is not null and u <> v")
     e, before = written(e.mapInArrow(_forests, "u long, v long").distinct()), None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now != before and 0 < now[0] <= ALONE:
+            e, before = written(e.coalesce(1).mapInArrow(_forest, "u long, v long")), now
         if now == before or not now[0]:
             return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = now
