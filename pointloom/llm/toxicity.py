@@ -258,26 +258,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, with SCORE (0 to 1) behind them; every window of each text counts."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of half a megabyte at most
-    schema = docs.drop(SCORE).withColumn(SCORE, F.lit(0.0)).schema
-    names = schema.names
+def _scored(sent, names: list[str]):
+    """The rows of batches with their scores; sent: the broadcast model. Beside a batch, one slice is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = sent.value.compressors() if len(sent.value.weights) else []
         for b in batches:
             texts = b.column("text").cast(pa.string())
             data, offs = T.buffers(texts)
-            low = T.LOWER[data]
-            low = np.where(T.SPACED[low], low, 0x20).astype(np.uint8)
             for x, y in T.slices(offs):
-                got = sent.value.scores(*T.of_range(low, offs, x, y), tools)
+                low, bounds = T.of_range(data, offs, x, y)
+                low = T.LOWER[low]
+                low[~T.SPACED[low]] = 0x20
+                got = sent.value.scores(low, bounds, tools)
                 own = b.slice(x, y - x)
                 yield pa.record_batch([*own.columns, pa.array(got, pa.float64())], names=names)
             T.trim()
 
-    return docs.drop(SCORE).mapInArrow(run, schema)
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of docs, with SCORE (0 to 1) behind them; every window of each text counts."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of half a megabyte at most
+    schema = docs.drop(SCORE).withColumn(SCORE, F.lit(0.0)).schema
+    return docs.drop(SCORE).mapInArrow(_scored(sent, schema.names), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

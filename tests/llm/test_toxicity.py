@@ -65,3 +65,24 @@ def test_one_long_text_and_repeated_ids_change_nothing(labelled, spark):
     one, two = fit(twice.repartition(3), labels), fit(twice.orderBy(F.desc("doc_id")).repartition(7), labels)
     assert (one.toxic, one.ordinary, one.weights.tolist()) == (two.toxic, two.ordinary, two.weights.tolist())
     assert toxicity(twice, labels).groupBy("doc_id").count().where("count > 1").count() == 300
+
+
+def test_scoring_holds_one_slice_beside_a_batch(spark, monkeypatch):
+    """Workers of an executor run side by side, so a batch's text is not copied whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pointloom.llm.toxicity import train
+
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    held = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: held.append(f))
+    score(df, train([], (1.0, 1.0)))
+    batch = pa.record_batch([pa.array(range(64)), pa.array(["word " * 100_000] * 64)], names=["doc_id", "text"])  # 32 MB
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in held[0](iter([batch]))) == 64
+        assert tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
